@@ -43,7 +43,9 @@ class Encoder:
     def spans(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         if self.pieces:
             got = self.pieces.lib.encode(text, return_type="proto").pieces
-            return [p.id for p in got], [(p.begin, p.end) for p in got]
+            # the library's offsets are in bytes
+            starts = np.concatenate([[0], np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)])
+            return [p.id for p in got], [(int(starts[p.begin]), int(starts[p.end])) for p in got]
         got = self.words.lib.encode(text, add_special_tokens=False)
         return got.ids, got.offsets
 
