@@ -35,7 +35,8 @@ def duplicate_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     norm = without_space(text_of(text))
     base = docs.select(F.col(key).alias("id"), F.char_length(text_of(text)).cast("long").alias("cp"), F.sha2(norm.cast("binary"), 256).alias("sha"), norm.cast("binary").alias("rest"))
     digit = F.substring("rest", 1, FIRST_DIGIT)
-    shared = base.groupBy(digit.alias("digit")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit")
+    # a table of its own: the join below then reads it through an exchange, and Spark can split a digit that very many rows have
+    shared = written(base.groupBy(digit.alias("digit")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit"), "digits")
     rows = base.withColumn("digit", digit)
     alone = rows.drop("rest").join(shared, "digit", "left_anti").select("id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("kept"), "sha")
     state = written(rows.join(shared, "digit").select("id", "cp", "sha", F.col("digit").alias("node"), F.expr(f"substring(rest, {FIRST_DIGIT + 1})").alias("rest"), F.monotonically_increasing_id().alias("rid")), "radix")
@@ -44,7 +45,7 @@ def duplicate_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     while not state.isEmpty():
         width *= DIGIT_GROWTH
         keyed = state.withColumn("digit", F.substring("rest", 1, width))
-        groups = keyed.groupBy("node", "digit").agg(F.count(F.lit(1)).alias("size"), F.min("rid").cast("string").cast("binary").alias("child"), F.max(F.struct("cp", (-F.col("id")).alias("neg"), (-F.col("rid")).alias("row"))).alias("best"))
+        groups = written(keyed.groupBy("node", "digit").agg(F.count(F.lit(1)).alias("size"), F.min("rid").cast("string").cast("binary").alias("child"), F.max(F.struct("cp", (-F.col("id")).alias("neg"), (-F.col("rid")).alias("row"))).alias("best")), "digits")
         over = (F.col("size") == 1) | (F.octet_length("digit") < width)
         split = written(
             keyed.join(groups, ["node", "digit"]).select("id", "cp", "sha", "rid", (-F.col("best.neg")).alias("keep"), (-F.col("best.row") == F.col("rid")).alias("kept"), "size", F.col("child").alias("node"), over.alias("over"), F.when(~over, F.expr(f"substring(rest, {width + 1})")).alias("rest")),
