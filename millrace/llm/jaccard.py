@@ -8,7 +8,7 @@ those too. So each linked pair shares a signature of a range that isn't empty, o
 
 Signatures are exchanged as packed arrays; equal sets, and equal signatures of a slice, go as one. Candidates are stars, not all
 pairs: each member of a signature with the smallest member. Sets of candidates are compared exactly. A signature whose
-members are then in one component is finished; others try more members against twice as many centres each round, only
+members are then in one component is finished. Of the others, documents go whose own hashes are too many for any link; the rest try more members against four times as many centres each round, only
 between different components, until all their pairs are covered or connected. So no link between different components is lost.
 
 Defined results: null or empty texts, or texts without words, have an empty set, are linked with nothing and are components of
@@ -260,26 +260,49 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         grow(todo)
     # signatures with members in several components: more centres each round
     every = written(stars.select("part", "sig", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("n")), F.struct(F.col("b").alias("id"), F.col("nb").alias("n")))).alias("m")).select("part", "sig", "m.id", "m.n").distinct(), "members")
-    every = written(every.join(every.groupBy("part", "sig").agg(F.count(F.lit(1)).alias("k")).where("k > 2").select("part", "sig"), ["part", "sig"]), "members")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Members of signatures that have three members or more, in two components or more; k: how many members."""
+        named = rows.drop("comp", "k").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        open_ = named.groupBy("part", "sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("k")).where("c1 <> c2 and k > 2").select("part", "sig", "k")
+        return written(named.join(open_, ["part", "sig"]), "active")
+
+    active = _likely(mixed(every), sets, num, den)
+    shared = (F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub")) * (num + den) >= (F.col("na") + F.col("nb")) * num) & fits
     centres = 2
     while True:
-        named = every.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = named.groupBy("part", "sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("k")).where("c1 <> c2").select("part", "sig", "k")
-        active = written(named.join(mixed, ["part", "sig"]).select("part", "sig", "id", "n", "comp", "k"), "active")
+        active = mixed(active)
         largest = active.agg(F.max("k")).first()[0]
-        if largest is None or centres // 2 >= largest:
+        if largest is None or centres // 4 >= largest:
             break
         ranked = active.withColumn("r", F.row_number().over(Window.partitionBy("part", "sig").orderBy("id")))
-        hubs = ranked.where(F.col("r") <= centres).select("part", "sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        cand = ranked.select("part", "sig", F.col("id").alias("a"), F.col("n").alias("na"), "comp").join(hubs, ["part", "sig"]).where((F.col("comp") != F.col("cb")) & fits)
+        hubs = ranked.where(F.col("r") <= centres).select("part", "sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("comp").alias("cb"))
+        cand = ranked.select("part", "sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), "comp").join(hubs, ["part", "sig"]).where((F.col("comp") != F.col("cb")) & shared)
         cand = cand.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         todo = written(apart(cand), "todo")
         if not todo.isEmpty():
             grow(todo)
-        centres *= 2
+        centres *= 4
     return _labelled(documents, comp, key)
 
 
+def _likely(active: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Members that may still be linked to another member, with u, the number of hashes that no other member has.
+
+    A pair has at most min(na - ua, nb - ub) hashes in common; a document whose own hashes alone are too many is linked with nothing.
+    Without it others have more hashes of their own, so this is done again while it takes out many."""
+    while True:
+        ids = active.select("id", "n").distinct()
+        hashes = sets.join(ids, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set")).select("id", F.explode("set").alias("h"))
+        own = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+        told = ids.join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+        told = written(told.withColumn("may", (F.col("n") - F.col("u")) * den >= F.col("n") * num), "own")
+        size = told.agg(F.count(F.lit(1)).alias("n"), F.count_if("may").alias("m")).first()
+        active = written(active.drop("u").join(told.where("may").select("id", "u"), "id"), "active")
+        if size["m"] >= 0.9 * size["n"]:
+            return active
+
+
 def _labelled(documents: DataFrame, comp: DataFrame | None, key: str) -> DataFrame:
     out = documents.join(comp, "id", "left") if comp is not None else documents.withColumn("comp", F.col("id"))
     return out.select(F.nullif("id", F.lit(NO_KEY)).alias(key), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("comp", "id"), F.lit(NO_KEY)).alias("component_id"))
