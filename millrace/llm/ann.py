@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 SAMPLE = 20000
 THRESHOLD = 0.2
 CENTRES = 16
-TILE_ROWS, TILE_QUERIES = 16384, 2048
+TILE_ROWS, TILE_QUERIES = 8192, 2048
 
 
 class Codebook:
@@ -141,7 +141,7 @@ def search(rows: DataFrame, is_query, k: int, depth: int = 200, key: str = "vec_
         return spark.createDataFrame([], schema)
     base = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
     counts = base.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query(F.col("id"))).alias("q")).first()
-    across = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, -(-counts["n"] // TILE_ROWS))
+    across = max(1, -(-counts["n"] // TILE_ROWS))  # by rows alone: each tile yields k rows a query
     down = max(1, -(-counts["q"] // TILE_QUERIES))
 
     def code(batches):
