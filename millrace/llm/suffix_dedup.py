@@ -7,7 +7,8 @@ a corpus would move each byte many times, so suffixes are thinned first, without
   Hashes come from prefix polynomial hashes modulo 2^64, so a substring costs one subtraction and one product.
 * First exchange: anchors by hash, with a hash of their context (all windows around the anchor). Equal contexts of a slice go as one. An
   anchor is settled when its whole context is known from a smaller key, or when no other document has it.
-* Second exchange: the contexts of the others, by anchor. Their suffixes, one for each window, are put into buckets by their first
+* Second exchange: the contexts of the others, by anchor. Contexts that share no longer string with the anchor are settled; groups of up to
+  sixteen are compared by their common extensions to both sides; of larger groups the suffixes, one for each window, are put into buckets by their first
   sixteen bytes and merge-sorted within buckets; two suffixes are compared by binary search for their common extension
   on prefix hashes. Neighbours with `width` bytes in common are compared byte by byte, and equal runs yield the smallest key.
 * Anchors with very many contexts send their windows by window hash instead, equal ones of a slice as one, so that no task gets them all.
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import mix, parts_for, slices, strings, text_of, total_bytes, written
 
 WIDTH, GRAM = 50, 24
-BLOCK_BYTES, SUB_BYTES, CHUNK = 16 << 20, 8 << 20, 2 << 20
-LOCAL_HOT, HOT = 64, 4096
+BLOCK_BYTES, SUB_BYTES, CHUNK = 8 << 20, 4 << 20, 1 << 18
+LOCAL_HOT, HOT, FEW = 64, 4096, 16
 NOTHING, KNOWN, CONTEXT, WINDOWS = 0, 1, 2, 3
 P = np.uint64(0x9E3779B97F4A7C15)
 P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -130,8 +131,8 @@ class Slice:
         self.place, self.key, ctx = anchors(self.data, self.ends, width)
         self.doc = np.searchsorted(self.ends, self.place, side="right") - 1
         short = self.key >> np.uint64(16)
-        part = (self.key % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((self.doc, ctx, short, part))
+        part = ((self.key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((ctx, self.key))  # parts are ranges of hashes; documents stay in order
         self.order = order
         k, c, p = short[order], ctx[order], part[order]
         new = np.ones(len(order), bool)
@@ -361,26 +362,89 @@ def compare(table: pa.Table, width: int) -> pa.Table:
         rows.append(np.frombuffer(blob, np.uint8, n * full, 8 + 10 * n))
         cuts.append(cuts[-1] + n)
     doc, l_, r_, text = np.concatenate(ids), np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64), np.concatenate(rows)
-    bit = np.arange(width - GRAM + 1)[None]
-    ok = (bit >= width - GRAM - l_[:, None]) & (bit + width <= width - GRAM + r_[:, None])
-    entry, bits = np.nonzero(ok)
-    starts = entry * full + bits
     out = np.zeros(len(doc), np.uint32)
-    if len(starts):
-        order, lcp = suffix_order(text, starts, width)
-        joined = lcp >= width
-        near = np.nonzero(joined)[0]
-        for a in range(0, len(near), 1 << 16):  # hashes agree: so must the bytes
-            x, y = starts[order[near[a : a + (1 << 16)]]], starts[order[near[a : a + (1 << 16)] - 1]]
-            same = (text[x[:, None] + np.arange(width)[None]] == text[y[:, None] + np.arange(width)[None]]).all(1)
-            joined[near[a : a + (1 << 16)][~same]] = False
-        first = np.nonzero(~joined)[0]
-        low = np.minimum.reduceat(doc[entry[order]], first)[np.cumsum(~joined) - 1]
-        gone = low < doc[entry[order]]
-        np.bitwise_or.at(out, entry[order][gone], np.uint32(1) << bits[order][gone].astype(np.uint32))
+    if len(doc):
+        h, mid, half = PrefixHash(text), np.arange(len(doc)) * full + width - GRAM, (width - GRAM + 1) // 2
+        many = np.zeros(len(doc), bool)
+        # a window reaches beyond the anchor by half of the rest on one side at least: who shares neither longer string shares no window
+        for back in (half, 0):
+            own = np.nonzero((l_ >= back) & (r_ >= GRAM + half - back))[0]
+            many |= _few(h, text.reshape(-1, full), doc, l_, r_, width, own, h.at(mid[own] - back, GRAM + half), out)
+        _many(text, doc, l_, r_, width, np.nonzero(many)[0], out)
     return _reply(table, [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
+def _few(h: PrefixHash, rows: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, width: int, own: np.ndarray, gram: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Groups of FEW contexts or less (those in `own` with equal `gram`): the common extension of each two to both sides of the anchor.
+
+    Equal windows hold the anchor at the same place in both contexts (or hold it twice, and then both places are anchors), so the two
+    extensions tell all windows that both have. Returns which contexts belong to larger groups."""
+    span, full = width - GRAM, rows.shape[1]
+    mid = np.arange(len(doc)) * full + span
+    many = np.zeros(len(doc), bool)
+    if not len(own):
+        return many
+    order = np.lexsort((doc[own], gram))
+    new = np.concatenate([[True], gram[order][1:] != gram[order][:-1]])
+    group = np.cumsum(new) - 1
+    order = own[order]
+    size = np.bincount(group)
+    # groups of one key have nothing to remove
+    first = np.nonzero(new)[0]
+    varied = doc[order[np.append(first[1:], len(order)) - 1]] != doc[order[first]]
+    many[order] = (size > FEW)[group] & varied[group]
+    small = np.nonzero(((size > 1) & (size <= FEW) & varied)[group])[0]
+    for gap in range(1, FEW):
+        at = small[small + gap < len(order)]
+        at = at[group[at] == group[at + gap]]
+        x, y = order[at], order[at + gap]
+        x, y = x[doc[x] < doc[y]], y[doc[x] < doc[y]]
+        if not len(x):
+            continue
+        ext = []
+        for most, side in ((np.minimum(left[x], left[y]), -1), (np.minimum(right[x], right[y]), 1)):
+            lo, hi = np.zeros(len(x), np.int64), most.copy()
+            while (lo < hi).any():
+                m = (lo + hi + 1) // 2
+                back = m if side < 0 else 0
+                same = h.at(mid[x] - back, m) == h.at(mid[y] - back, m)
+                lo, hi = np.where(same, m, lo), np.where(same, hi, m - 1)
+            ext.append(lo)
+        before, after = ext
+        hit = np.nonzero(before + after >= width)[0]
+        place = np.arange(full)[None]
+        for a in range(0, len(hit), 1 << 16):  # hashes agree: so must the bytes
+            k = hit[a : a + (1 << 16)]
+            inside = (place >= span - before[k][:, None]) & (place < span + after[k][:, None])
+            k = k[((rows[x[k]] == rows[y[k]]) | ~inside).all(1)]
+            first, last = (span - before[k]).astype(np.uint64), np.minimum(span, after[k] - GRAM).astype(np.uint64)
+            one = np.uint64(1)
+            np.bitwise_or.at(out, y[k], ((one << (last + one)) - (one << first)).astype(np.uint32))
+    return many
+
+
+def _many(text: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, width: int, among: np.ndarray, out: np.ndarray) -> None:
+    """Anchors with more contexts: all their windows' suffixes are sorted; runs with width bytes in common yield the smallest key."""
+    full, bit = 2 * width - GRAM, np.arange(width - GRAM + 1)[None]
+    ok = (bit >= width - GRAM - left[among][:, None]) & (bit + width <= width - GRAM + right[among][:, None])
+    entry, bits = np.nonzero(ok)
+    entry = among[entry]
+    starts = entry * full + bits
+    if not len(starts):
+        return
+    order, lcp = suffix_order(text, starts, width)
+    joined = lcp >= width
+    near = np.nonzero(joined)[0]
+    for a in range(0, len(near), 1 << 16):  # hashes agree: so must the bytes
+        x, y = starts[order[near[a : a + (1 << 16)]]], starts[order[near[a : a + (1 << 16)] - 1]]
+        same = (text[x[:, None] + np.arange(width)[None]] == text[y[:, None] + np.arange(width)[None]]).all(1)
+        joined[near[a : a + (1 << 16)][~same]] = False
+    first = np.nonzero(~joined)[0]
+    low = np.minimum.reduceat(doc[entry[order]], first)[np.cumsum(~joined) - 1]
+    gone = low < doc[entry[order]]
+    np.bitwise_or.at(out, entry[order][gone], np.uint32(1) << bits[order][gone].astype(np.uint32))
+
+
 def _subs(table: pa.Table):
     table = table.take(pc.sort_indices(table, [("id", "ascending"), ("text", "ascending")])) if table.num_rows > 1 else table
     return enumerate(slices(table, "text", SUB_BYTES, 30000))
@@ -393,7 +457,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", key:
     spark = docs.sparkSession
     n, nbytes = total_bytes(docs, text)
     blocks = max(1, -(-nbytes // BLOCK_BYTES), -(-n // 100000), min(2 * spark.sparkContext.defaultParallelism, nbytes // (1 << 20)))
-    parts = parts_for(spark, nbytes, 16 << 20)
+    parts = parts_for(spark, nbytes, 8 << 20)
     extra = {f"carry{i}": c for i, c in enumerate(carry or ())}
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("id"), text_of(text).alias("text"), *(F.col(c).alias(n) for n, c in extra.items())).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     by_block = base.groupBy("block")
