@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mix, parts_for, slices, strings, text_of, total_bytes, written
+from millrace.llm.common import give_back, mix, parts_for, slices, strings, text_of, total_bytes, written
 
 WIDTH, GRAM = 50, 24
 BLOCK_BYTES, SUB_BYTES, CHUNK = 8 << 20, 4 << 20, 1 << 18
@@ -287,6 +287,7 @@ def settle(table: pa.Table) -> pa.Table:
 
 
 def _reply(table: pa.Table, data: list[bytes]) -> pa.Table:
+    give_back()
     return pa.table({c: table.column(c) for c in ("block", "sub", "part", "phase")} | {"data": pa.array(data, pa.binary())})
 
 
@@ -464,6 +465,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", key:
     number = lambda t: t.column("block")[0].as_py()
 
     def table_of(rows: list[tuple]) -> pa.Table:
+        give_back()
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.table({c: pa.array(list(x), k) for (c, k), x in zip((("block", pa.int32()), ("sub", pa.int32()), ("part", pa.int32()), ("phase", pa.int32()), ("data", pa.binary())), cols, strict=True)})
 
