@@ -111,7 +111,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
         left = np.minimum(width - GRAM, pick + a - ends[doc])
         right = np.minimum(width, ends[doc + 1] - pick - a)
         places.append(pick + a)
-        keys.append(key[pick])
+        keys.append(mix(key[pick]))  # minima are small: mixed again, their ranges are even
         contexts.append(mix(h.at(pick - left, left + right) + (left * 256 + right).astype(np.uint64) * P))
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
     return cat(places, np.int64), cat(keys, np.uint64), cat(contexts, np.uint64)
