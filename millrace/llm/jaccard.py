@@ -25,9 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, mix, parts_for, slices, strings, text_of, total_bytes, words_of, written
+from millrace.llm.common import components, give_back, mix, parts_for, slices, strings, text_of, total_bytes, words_of, written
 
 LONGEST = 1 << 40
+SIGNED_BYTES, SET_BYTES = 8 << 20, 4 << 20
 NO_KEY = 2**63 - 1
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
 
@@ -126,7 +127,7 @@ def _signed(docs: DataFrame, n: int, scheme: Scheme, parts: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SIGNED_BYTES):
                 part = part.take(pc.sort_indices(part, [("id", "ascending")])) if part.num_rows > 1 else part
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 flat, offs = shingles(strings(part.column("text")), n)
@@ -167,6 +168,7 @@ def _signed(docs: DataFrame, n: int, scheme: Scheme, parts: int) -> DataFrame:
                     steps = np.diff(ids[own], prepend=0)
                     blobs.append(np.int64([len(own)]).tobytes() + steps.tobytes() + ((short[a:b] << 16) | local).astype(np.int64).tobytes())
                 yield pa.RecordBatch.from_pydict(_rows(len(at), kind=BLOB, part=to[at], blob=blobs))
+        give_back()
 
     return docs.mapInArrow(run, FLOW)
 
@@ -192,15 +194,18 @@ def _gather(table: pa.Table) -> pa.Table:
     rest = ~start & (doc != lead)
     part = table.column("part")[0].as_py()
     more = pa.table(_rows(int(rest.sum()), kind=MEMBER, part=part, sig=sig[rest], a=doc[rest], b=lead[rest]))
+    del sigs, docs, sig, doc, order, start, lead, rest
+    give_back()
     return pa.concat_tables([passed, more.cast(passed.schema)])
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SET_BYTES):
                 flat, offs = shingles(strings(part.column("text")), n)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat.view(np.int64)))], ["id", "set"])
+        give_back()
 
     return docs.mapInArrow(run, "id long, set array<bigint>")
 
