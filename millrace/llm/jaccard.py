@@ -8,8 +8,10 @@ those too. So each linked pair shares a signature of a range that isn't empty, o
 
 Signatures are exchanged as packed arrays; equal sets, and equal signatures of a slice, go as one. Candidates are stars, not all
 pairs: each member of a signature with the smallest member. Sets of candidates are compared exactly. A signature whose
-members are then in one component is finished. Of the others, documents go whose own hashes are too many for any link; the rest try more members against four times as many centres each round, only
-between different components, until all their pairs are covered or connected. So no link between different components is lost.
+members are then in one component is finished. Of the others, documents go whose own hashes are too many for any link; the rest
+sign again by a finer partition and keep their k + 1 rarest signatures. Under those they try more members against four times as
+many centres each round, only between different components, until all their pairs are covered or connected. So no link between
+different components is lost.
 
 Defined results: null or empty texts, or texts without words, have an empty set, are linked with nothing and are components of
 their own; shorter texts than n words have one shingle, the whole sequence; equal sets are linked; rows with the same key are one
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import components, give_back, mix, parts_for, slices, strings, text_of, total_bytes, words_of, written
 
 LONGEST = 1 << 40
+FINE = 3
 SIGNED_BYTES, SET_BYTES = 8 << 20, 4 << 20
 NO_KEY = 2**63 - 1
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
@@ -66,9 +69,9 @@ def shingles(texts: pa.LargeStringArray, n: int) -> tuple[np.ndarray, np.ndarray
 
 
 class Scheme:
-    """Bands of sizes and numbers of ranges for a threshold num / den."""
+    """Bands of sizes and numbers of ranges for a threshold num / den; fine: how many times more ranges than a pair may differ in."""
 
-    def __init__(self, num: int, den: int):
+    def __init__(self, num: int, den: int, fine: int = 1):
         self.num, self.den = num, den
         hi = [1]
         while hi[-1] < LONGEST:
@@ -77,13 +80,17 @@ class Scheme:
         lo = np.concatenate([[1], self.hi[:-1] + 1])
         self.k = self.hi * (den - num) // num
         m = (self.k + 1) * np.exp(-lo / (self.k + 1))
-        self.n = self.k + 1 + np.where(self.k > 0, np.ceil(m + 6 * np.sqrt(m)), 0).astype(np.int64)
+        self.n = fine * (self.k + 1) + np.where(self.k > 0, np.ceil(m + 6 * np.sqrt(m)), 0).astype(np.int64)
 
     def signatures(self, flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(signature, document number) pairs of sorted sets."""
+        return self.described(flat, offs)[:2]
+
+    def described(self, flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Signatures, their document numbers and pairs of bands, and whether they are of empty ranges."""
         sizes = np.diff(offs)
         band = np.searchsorted(self.hi, np.maximum(sizes, 1))
-        sigs, docs = [], []
+        sigs, docs, unis, none = [], [], [], []
         doc = np.repeat(np.arange(len(sizes)), sizes)
         mixed = mix(flat)
         for role in (0, 1):  # with the own and the next band, or the band below and the own
@@ -102,14 +109,18 @@ class Scheme:
             d, cell = d[first], cell[first]
             sigs.append(mix(mix(total + count.astype(np.uint64) * STEPS[0]) + cell.astype(np.uint64) * STEPS[1] + uni[d].astype(np.uint64) * STEPS[2]))
             docs.append(d)
+            unis.append(uni[d])
+            none.append(np.zeros(len(d), bool))
             filled = np.bincount(d, minlength=len(sizes))
             empty = np.where(use, self.n[uni] - filled, 0)
             for x in np.nonzero(use & (empty >= self.n[uni] - self.k[uni]) & (empty > 0))[0]:
                 a, b = np.searchsorted(d, [x, x + 1])
                 gone = np.setdiff1d(np.arange(self.n[uni[x]]), cell[a:b])
-                sigs.append(mix(gone.astype(np.uint64) * STEPS[3] + np.uint64(uni[x]) * STEPS[4] + np.uint64(1)))
+                sigs.append(mix(gone.astype(np.uint64) * STEPS[3] + uni[[x]].astype(np.uint64) * STEPS[4] + np.uint64(1)))
                 docs.append(np.full(len(gone), x))
-        return (np.concatenate(sigs), np.concatenate(docs)) if sigs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                unis.append(np.full(len(gone), uni[x]))
+                none.append(np.ones(len(gone), bool))
+        return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((sigs, np.uint64), (docs, np.int64), (unis, np.int64), (none, bool)))
 
 
 FLOW = "kind int, part int, sig long, a long, b long, n long, d1 long, d2 long, blob binary"
@@ -210,6 +221,39 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, set array<bigint>")
 
 
+def _rarest(active: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """(part, sig, id, n, u, r, f, most, own) of the active documents: of the signatures of a finer scheme, the k + 1 rarest of each document.
+
+    r: rank among the f filled ranges (0: of an empty range); most: k; own: signed for the pair of bands that begins with the document's.
+
+    Documents that differ in at most k ranges share all but k of the filled ranges of each; so the rarest signature that they share is
+    among the k + 1 rarest of both, in any order that is the same for all. Signatures of empty ranges stay."""
+    ids = active.select("id", "u").distinct()
+
+    def run(batches):
+        for batch in batches:
+            offs = batch.column("set").offsets.to_numpy().astype(np.int64)
+            flat = batch.column("set").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            offs, sizes = offs - offs[0], np.diff(offs)
+            some = np.nonzero(sizes > 0)[0]
+            sig, doc, uni, none = scheme.described(flat, offs)
+            digest = np.zeros(len(sizes), np.uint64)
+            if len(some):
+                digest[some] = np.add.reduceat(mix(flat), offs[:-1][some])
+            own = uni == np.searchsorted(scheme.hi, np.maximum(sizes, 1))[doc]
+            filled = np.bincount((2 * doc + own)[~none], minlength=2 * len(sizes))[2 * doc + own]
+            cols = [pa.array(uni.astype(np.int32)), pa.array(sig.view(np.int64)), batch.column("id").take(pa.array(doc)), pa.array(digest[doc].view(np.int64)), pa.array(sizes[doc].astype(np.int64))]
+            cols += [pa.array(filled.astype(np.int64)), pa.array(scheme.k[uni].astype(np.int64)), pa.array(none), pa.array(own)]
+            yield pa.RecordBatch.from_arrays(cols, ["part", "sig", "id", "row", "n", "f", "most", "none", "own"])
+        give_back()
+
+    all_ = written(sets.join(ids, "id", "left_semi").mapInArrow(run, "part int, sig long, id long, row long, n long, f long, most long, none boolean, own boolean"), "finer")
+    shared = all_.groupBy("part", "sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    ranked = all_.join(shared, ["part", "sig"], "left").withColumn("r", F.row_number().over(Window.partitionBy("id", "row", "part", "none").orderBy(F.coalesce("c", F.lit(1)), "sig")))
+    kept = ranked.where("c is not null and (none or r <= most + 1)").withColumn("r", F.when(F.col("none"), 0).otherwise(F.col("r")))
+    return written(kept.select("part", "sig", "id", "n", "r", "f", "most", "own").distinct().join(ids, "id"), "rarest")
+
+
 def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, component_id: links are pairs with den * |intersection| >= num * |union| of word n-gram sets. key: an integer."""
     spark = docs.sparkSession
@@ -266,23 +310,25 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     # signatures with members in several components: more centres each round
     every = written(stars.select("part", "sig", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("n")), F.struct(F.col("b").alias("id"), F.col("nb").alias("n")))).alias("m")).select("part", "sig", "m.id", "m.n").distinct(), "members")
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Members of signatures that have three members or more, in two components or more; k: how many members."""
+    def mixed(rows: DataFrame, least: int) -> DataFrame:
+        """Members of signatures that have more than least members, in two components or more; k: how many members."""
         named = rows.drop("comp", "k").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = named.groupBy("part", "sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("k")).where("c1 <> c2 and k > 2").select("part", "sig", "k")
+        open_ = named.groupBy("part", "sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("k")).where(f"c1 <> c2 and k > {least}").select("part", "sig", "k")
         return written(named.join(open_, ["part", "sig"]), "active")
 
-    active = _likely(mixed(every), sets, num, den)
+    active = _rarest(_likely(mixed(every, 2), sets, num, den), sets, Scheme(num, den, FINE))
     shared = (F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub")) * (num + den) >= (F.col("na") + F.col("nb")) * num) & fits
+    # pairs of one band are in two pairs of bands, one is enough; the first signature that a linked pair shares has enough others behind it
+    shared &= (F.col("owna") | F.col("ownb")) & (F.least(F.col("fa") - F.col("ra"), F.col("fb") - F.col("rb")) + 1 >= F.greatest("fa", "fb") - F.col("most"))
     centres = 2
     while True:
-        active = mixed(active)
+        active = mixed(active, 1)
         largest = active.agg(F.max("k")).first()[0]
         if largest is None or centres // 4 >= largest:
             break
-        ranked = active.withColumn("r", F.row_number().over(Window.partitionBy("part", "sig").orderBy("id")))
-        hubs = ranked.where(F.col("r") <= centres).select("part", "sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("comp").alias("cb"))
-        cand = ranked.select("part", "sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), "comp").join(hubs, ["part", "sig"]).where((F.col("comp") != F.col("cb")) & shared)
+        ranked = active.withColumn("place", F.row_number().over(Window.partitionBy("part", "sig").orderBy("id")))
+        hubs = ranked.where(F.col("place") <= centres).select("part", "sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("comp").alias("cb"), F.col("r").alias("rb"), F.col("f").alias("fb"), F.col("own").alias("ownb"))
+        cand = ranked.select("part", "sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), "comp", F.col("r").alias("ra"), F.col("f").alias("fa"), F.col("own").alias("owna"), "most").join(hubs, ["part", "sig"]).where((F.col("comp") != F.col("cb")) & shared)
         cand = cand.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         todo = written(apart(cand), "todo")
         if not todo.isEmpty():
