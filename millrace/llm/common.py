@@ -81,12 +81,14 @@ def slices(batch, text: str, most_bytes: int = 16 << 20, most_rows: int = 30000)
 
 
 def strings(col) -> pa.LargeStringArray:
-    """A column of texts as one large_string array without nulls."""
+    """A column of texts as one large_string array without nulls. It never starts inside a buffer: pyarrow 23's ascii_lower garbles such slices."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
         if isinstance(col, pa.ChunkedArray):
             col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.string())
-    return pc.fill_null(col.cast(pa.large_string()), "")
+    out = pc.fill_null(col.cast(pa.large_string()), "")
+    within = len(out) > 0 and (out.offset > 0 or np.frombuffer(out.buffers()[1], np.int64, 1)[0] != 0)
+    return out.take(pa.array(np.arange(len(out)))) if within else out
 
 
 def words_of(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -200,6 +200,18 @@ def test_jaccard_components(docs, none, n, num, den):
     assert jaccard.link_components(none, n, num, den).count() == 0
 
 
+def test_words_of_later_slices():
+    """Lower-casing and splitting a slice gives what a whole column gives."""
+    texts = [f"{prose(400 + i, 20)} Ä{i} ÀB日本 {'' if i % 3 else ' '}" for i in range(50)]
+    batch = pa.record_batch({"text": pa.array([*texts[:7], None, *texts[7:]])})
+    got = []
+    for part in common.slices(batch, "text", 300, 4):
+        flat, offs = jaccard.shingles(common.strings(part.column("text")), 3)
+        got += [flat[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)]
+    want = [jaccard.shingles(pa.array([t], pa.large_string()), 3)[0].tolist() for t in (*texts[:7], "", *texts[7:])]
+    assert got == want
+
+
 def test_jaccard_many_near_copies(spark):
     r = random.Random(5)
     base = prose(21, 120).split(" ")
