@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices, strings, words_of, written
+from millrace.llm.common import give_back, slices, strings, words_of, written
 
 GROUPS = 64
+SLICE_BYTES = 4 << 20
 SMALL_SHARE = 8
 
 
@@ -171,7 +172,7 @@ def token_pieces(docs: DataFrame, file: str, capacity: int, end_id: int, text: s
         v = vocabulary(file)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE_BYTES):
                 texts = strings(part.column(text))
                 if v.fast:
                     idx, offs, words = words_of(texts)
@@ -193,6 +194,7 @@ def token_pieces(docs: DataFrame, file: str, capacity: int, end_id: int, text: s
                             col.append(x)
                 at = pa.array(rows[0], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(key).take(at), pa.array(rows[1], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[2:])], [key, "piece", "start", "length", "ids_crc32"])
+            give_back()
 
     return docs.select(F.col(key), F.col(text).alias(text)).mapInArrow(run, f"{key} {types}, piece int, start long, length long, ids_crc32 long")
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import parts_for, slices, strings, text_of, total_bytes, written
+from millrace.llm.common import give_back, parts_for, slices, strings, text_of, total_bytes, written
 
 ORDER, BITS, FOLD, FOLDED = 5, 12, 4000, 96
 BLOCK_BYTES = 32 << 20
@@ -137,6 +137,8 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
             if len(seen[name]) > 16:
                 seen[name] = [_merged(seen[name])]
         out = [(name, *_merged(parts)) for name, parts in seen.items()]
+        seen.clear()
+        give_back()
         number = left.column("block")[0].as_py() if left.num_rows else 0
         n = sum(len(k) for _, k, _ in out)
         cat = lambda i: np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64)
@@ -166,6 +168,7 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
             sums += (total[ends[1:]] - total[ends[:-1]]).tolist()
             names += [name] * len(texts)
             ids.append((own, texts))
+        give_back()
         order, start = [], 0
         for part in slices(left, "text", 2 << 20):
             langs_ = part.column("lang").to_pylist()
