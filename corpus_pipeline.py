@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, jaccard, packing, quality, suffix_dedup
 from millrace.llm.common import written
-from millrace.llm.queries import tokenizer, trusted
+from millrace.llm.queries import tokenizer, toxic, trusted
 
 
 def _kept(docs: DataFrame, decided: DataFrame, keep: Column) -> DataFrame:
@@ -24,7 +24,7 @@ def _kept(docs: DataFrame, decided: DataFrame, keep: Column) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects."""
-    return _kept(docs, quality.classify(docs, trusted(spark, sf_dir)), F.col("keep"))
+    return _kept(docs, quality.classify(docs, trusted(spark, sf_dir), toxic=toxic(spark, sf_dir)), F.col("keep"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,14 +3,21 @@
 The model counts the character n-grams of all trusted documents but a fold that is kept for calibration. Counts, continuation
 counts, discounts and context sums are aggregated and joined by n-gram, so they are sharded over the cluster by (language,
 n-gram). Each block of documents sends its distinct n-grams to those shards once and gets a log probability for each back;
-documents move through one shuffle by block, which both passes read. A document is kept when its perplexity is at most its
-language's threshold: a quantile of the trusted documents of the calibration fold, from a histogram of fine bins.
+documents move through one shuffle by block, which both passes read. A document is kept when its perplexity and its worst
+stretch (the STRETCH characters with the highest mean) are each at most their language's limit. A limit is set on trusted
+documents that the model has not seen, and on documents labelled toxic: of the limits that lose at most 1 - quantile (perplexity) or
+the share LOST (worst stretch) of the trusted ones it is that with most of the toxic ones rejected less trusted ones lost; without toxic ones it is the quantile.
+Limits are factors on the language's mean, from a histogram of fine bins.
+
+Held out are a tenth of a language's trusted documents; where that is less than FEW, FEW of them or half, chosen by rank, and
+of a single trusted document its second half. A language with m < FEW held out takes
+the factors of all languages, and as its mean is uncertain, what these have above 1 counts 1 + 2 / sqrt(m) times.
 
 Characters are folded to 12 bits (code points from 4000 on share 96 codes), so five of them fit one long. Perplexity is
 smoothed: PRIOR characters at the language's calibration mean are added, so that a few rare characters don't condemn a short text.
 
 Defined results: null or empty texts have no characters, perplexity equal to the language's mean and are kept; a null language is a
-language of its own; in a language without trusted text nothing is rejected (threshold null); repeated rows are scored each; a
+language of its own; in a language without trusted text nothing is rejected (threshold null); a trusted document isn't toxic; repeated rows are scored each; a
 document labelled more than once is trusted when any row says so; an empty table gives an empty table; other columns stay out.
 """
 
@@ -27,7 +34,7 @@ from millrace.llm.common import give_back, parts_for, slices, strings, text_of,
 ORDER, BITS, FOLD, FOLDED = 5, 12, 4000, 96
 BLOCK_BYTES = 32 << 20
 FOLDS = 10
-QUANTILE, MARGIN, PRIOR = 0.99, 1.05, 200
+QUANTILE, LOST, MARGIN, PRIOR, STRETCH, FEW = 0.99, 0.02, 1.0, 200, 6, 20
 BIN = 0.001
 
 
@@ -63,15 +70,56 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _by_language(table: pa.Table):
-    """(language, texts, trusted) of each language of small slices of a block's table."""
+    """(language, rows, texts, trusted) of each language of small slices of a block's table."""
     for part in slices(table, "text", 2 << 20):
         langs, texts = part.column("lang").to_pylist(), strings(part.column("text"))
-        trusted = np.array(part.column("trains").to_pylist(), bool)
+        trusted = np.array(part.column("trains").to_pylist(), np.int8)
         for lang in dict.fromkeys(langs):
             own = np.array([x == lang for x in langs])
             yield lang, own, texts.filter(pa.array(own)), trusted[own]
 
 
+def worst_stretches(total: np.ndarray, ends: np.ndarray) -> list[float | None]:
+    """The highest mean of -lp over STRETCH characters of each text, from the running sums of lp; null for shorter texts."""
+    n = np.diff(ends)
+    out = np.full(len(n), np.nan)
+    if len(total) > STRETCH:
+        sums = np.append((total[:-STRETCH] - total[STRETCH:]) / STRETCH, np.full(STRETCH, -np.inf))
+        sums[np.arange(len(sums)) > np.repeat(np.append(ends[1:] - STRETCH, 0), np.append(n, 1))] = -np.inf
+        long = np.nonzero(n >= STRETCH)[0]
+        at = np.nonzero(n)[0]
+        best = np.full(len(n), -np.inf)
+        best[at] = np.maximum.reduceat(sums[:-1], ends[at]) if len(at) else best[at]
+        out[long] = best[long]
+    return [None if np.isnan(x) else x for x in out.tolist()]
+
+
+def _folds(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """id, held, half of trusted documents of texts(id, lang): held ones set the limits; half ones train with their first half only."""
+    own = written(texts.join(marks, "id").distinct(), "kn-trusted")
+    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    order = F.xxhash64(F.lit(11), "id")
+    own = own.join(sizes, "lang")
+    few = F.col("size") < 2 * FEW * FOLDS
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "id"))
+    # only languages with few trusted documents are ranked
+    small = own.where(few).withColumn("held", rank <= F.greatest(F.least(F.floor(F.col("size") / 2), F.lit(FEW)), F.floor(F.col("size") / FOLDS)))
+    both = small.unionByName(own.where(~few).withColumn("held", F.pmod(order, F.lit(FOLDS)) == 0))
+    return written(both.groupBy("id").agg(F.bool_or("held").alias("held"), F.bool_or(F.col("size") == 1).alias("half")), "kn-folds")
+
+
+def _limits(rated: DataFrame, quantile: float) -> DataFrame:
+    """name, lang, factor of rated(name, lang, x, good): each language's own, and over all languages as language ''."""
+    each = rated.withColumn("lang", F.explode(F.array("lang", F.lit(""))))
+    bins = each.groupBy("name", "lang", F.floor(F.col("x") / BIN).alias("bin")).agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    whole, upto = Window.partitionBy("name", "lang"), Window.partitionBy("name", "lang").orderBy("bin")
+    t = bins.select("name", "lang", "bin", *(F.sum(c).over(w).alias(a) for c, w, a in (("g", whole, "all_g"), ("b", whole, "all_b"), ("g", upto, "up_g"), ("b", upto, "up_b"))))
+    loss, gain = 1 - F.col("up_g") / F.nullif(F.col("all_g"), F.lit(0)), 1 - F.col("up_b") / F.nullif(F.col("all_b"), F.lit(0))
+    t = t.where(F.col("up_g") >= F.when((F.col("all_b") > 0) & (F.col("name") == "w"), 1 - LOST).otherwise(quantile) * F.col("all_g")).where("all_g > 0")
+    best = F.max_by("bin", F.struct(F.when(F.col("all_b") > 0, gain - loss).otherwise(loss), "bin"))
+    return t.groupBy("name", "lang").agg(((best + 1) * BIN).alias("factor"), F.first("all_g").alias("held"))
+
+
 def _mask(order: int) -> int:
     return (1 << (BITS * order)) - 1
 
@@ -110,10 +158,11 @@ def log_probabilities(grams: DataFrame) -> DataFrame:
     return below.select("lang", "gram", F.log("p").cast("float").alias("lp"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """key, lang, n_scored, perplexity, threshold, keep. trusted: a table with the keys of trusted documents.
+def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, toxic: DataFrame | None = None) -> DataFrame:
+    """key, lang, n_scored, perplexity, threshold, worst, worst_limit, keep. trusted, toxic: tables with the keys of such documents.
 
-    quantile: of the trusted documents in the calibration fold; margin: factor on that quantile."""
+    quantile: of held-out trusted documents, what a limit keeps at least, but that of the worst stretch where there are toxic ones; margin: factor on the perplexity's limit.
+    worst, worst_limit: mean of -log p over the worst stretch, and its limit."""
     spark = docs.sparkSession
     kind = docs.select(key).schema[0].dataType.simpleString()
     _, nbytes = total_bytes(docs, text)
@@ -121,16 +170,21 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     code = F.coalesce(F.col(lang).cast("string"), F.lit(""))
     base = docs.select(F.col(key).alias("id"), text_of(text).alias("text"), F.when(F.col(lang).isNull(), "-").otherwise(F.concat(F.lit("="), code)).alias("lang")).withColumn("block", block(F.col("id")))
-    marks = trusted.where(F.col(key).isNotNull()).select(F.col(key).cast(kind).alias("id")).distinct()
-    train = marks.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(FOLDS)) > 0).withColumn("block", block(F.col("id")))
+    keys_of = lambda t: t.where(F.col(key).isNotNull()).select(F.col(key).cast(kind).alias("id")).distinct()
+    marks = keys_of(trusted)
+    folds = _folds(base.where("text <> ''").select("id", "lang"), marks)
+    train = folds.where("not held").select("id", "half").withColumn("block", block(F.col("id")))
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         own = pc.is_in(left.column("id"), value_set=right.column("id").combine_chunks())
-        table = left.append_column("trains", own)
+        halved = pc.is_in(left.column("id"), value_set=right.filter(right.column("half")).column("id").combine_chunks())
+        table = left.append_column("trains", pc.add(pc.cast(own, pa.int8()), pc.cast(halved, pa.int8())))
         seen: dict[str, list] = {}
         for name, _, texts, trains in _by_language(table):
             keys, ends = gram_keys(texts)
-            learns = np.repeat(trains, np.diff(ends))
+            n = np.diff(ends)
+            place = np.arange(len(keys)) - np.repeat(ends[:-1], n)
+            learns = place < np.repeat(np.where(trains == 2, n // 2, np.where(trains == 1, n, 0)), n)
             u, c = _counted(keys[learns])
             v, _ = _counted(keys[~learns])
             seen.setdefault(name, []).extend([(u, c), (v, np.zeros(len(v), np.int64))])
@@ -140,10 +194,10 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
         seen.clear()
         give_back()
         number = left.column("block")[0].as_py() if left.num_rows else 0
-        n = sum(len(k) for _, k, _ in out)
+        size = sum(len(k) for _, k, _ in out)
         cat = lambda i: np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64)
-        names = pa.array(np.repeat([x[0] for x in out], [len(x[1]) for x in out]).tolist() if n else [], pa.string())
-        return pa.table({"block": pa.array(np.full(n, number, np.int32)), "lang": names, "gram": pa.array(cat(1), pa.int64()), "c": pa.array(cat(2), pa.int64())})
+        names = pa.array(np.repeat([x[0] for x in out], [len(x[1]) for x in out]).tolist() if size else [], pa.string())
+        return pa.table({"block": pa.array(np.full(size, number, np.int32)), "lang": names, "gram": pa.array(cat(1), pa.int64()), "c": pa.array(cat(2), pa.int64())})
 
     by_block = base.groupBy("block")
     grams = written(by_block.cogroup(train.groupBy("block")).applyInArrow(count, "block int, lang string, gram long, c long"), "kn-seen")
@@ -157,17 +211,17 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
             at = np.nonzero(langs == name)[0]
             at = at[np.argsort(grams_[at])]
             model[name] = grams_[at], lps[at].astype(np.float64)
-        ids, names, ns, sums = [], [], [], []
-        left = left.append_column("trains", pa.array(np.zeros(left.num_rows, bool)))
-        done = 0
-        for name, own, texts, _ in _by_language(left):
+        names, ns, sums, tails, worst = [], [], [], [], []
+        left = left.append_column("trains", pa.array(np.zeros(left.num_rows, np.int8)))
+        for name, _, texts, _ in _by_language(left):
             keys, ends = gram_keys(texts)
             known, lp = model.get(name, (np.zeros(0, np.int64), np.zeros(0)))
             total = np.concatenate([[0.0], np.cumsum(lp[np.searchsorted(known, keys)])]) if len(keys) else np.zeros(1)
             ns += np.diff(ends).tolist()
             sums += (total[ends[1:]] - total[ends[:-1]]).tolist()
+            tails += (total[ends[1:]] - total[(ends[:-1] + ends[1:]) // 2]).tolist()
+            worst += worst_stretches(total, ends)
             names += [name] * len(texts)
-            ids.append((own, texts))
         give_back()
         order, start = [], 0
         for part in slices(left, "text", 2 << 20):
@@ -175,18 +229,30 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
             for name in dict.fromkeys(langs_):
                 order += [start + i for i, x in enumerate(langs_) if x == name]
             start += part.num_rows
-            done += part.num_rows
-        return pa.table({"id": left.column("id").take(pa.array(order, pa.int64())), "lang": pa.array(names, pa.string()), "n": pa.array(ns, pa.int64()), "s": pa.array(sums, pa.float64())})
-
-    scored = written(by_block.cogroup(reply.groupBy("block")).applyInArrow(score, f"id {kind}, lang string, n long, s double"), "kn-scores")
-    held = scored.join(marks.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(FOLDS)) == 0), "id", "left_semi")
-    mean = held.groupBy("lang").agg((F.sum("s") / F.sum("n")).alias("mean")).where("mean is not null")
-    smooth = -(F.col("s") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
-    bins = held.join(mean, "lang").groupBy("lang", F.floor(smooth / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
-    upto = bins.withColumn("upto", F.sum("k").over(Window.partitionBy("lang").orderBy("bin"))).withColumn("all", F.sum("k").over(Window.partitionBy("lang")))
-    limits = upto.where(F.col("upto") >= quantile * F.col("all")).groupBy("lang").agg(((F.min("bin") + 1) * BIN + float(np.log(margin))).alias("limit")).join(mean, "lang")
+        return pa.table({"id": left.column("id").take(pa.array(order, pa.int64())), "lang": pa.array(names, pa.string()), "n": pa.array(ns, pa.int64()), "s": pa.array(sums, pa.float64()), "tail": pa.array(tails, pa.float64()), "w": pa.array(worst, pa.float64())})
+
+    scored = written(by_block.cogroup(reply.groupBy("block")).applyInArrow(score, f"id {kind}, lang string, n long, s double, tail double, w double"), "kn-scores")
+    held = scored.join(folds.where("held or half"), "id").withColumn("s", F.when(F.col("half"), F.col("tail")).otherwise(F.col("s"))).withColumn("m", F.when(F.col("half"), F.col("n") - F.floor(F.col("n") / 2)).otherwise(F.col("n")))
+    mean = held.groupBy("lang").agg((-F.sum("s") / F.sum("m")).alias("mean")).where("mean > 0")
+    held = held.join(mean, "lang").select("lang", F.col("m").alias("n"), "s", F.col("n").alias("chars"), "w", "mean", F.lit(True).alias("good"))
+    smooth = (PRIOR * F.col("mean") - F.col("s")) / (F.col("n") + PRIOR)
+    worst = lambda n: F.coalesce("w", (F.col("mean") * (STRETCH - n) - F.col("s")) / STRETCH)
+    rated = held.withColumn("worst", worst(F.col("chars")))
+    if toxic is not None:
+        bad = scored.join(keys_of(toxic).join(marks, "id", "left_anti"), "id", "left_semi").join(mean, "lang").select("lang", "n", "s", F.col("n").alias("chars"), "w", "mean", F.lit(False).alias("good"))
+        rated = rated.unionByName(bad.withColumn("worst", worst(F.col("chars"))))
+    usual = rated.where("good").groupBy("lang").agg(F.avg("worst").alias("usual"), (1 + 2 / F.sqrt(F.count(F.lit(1)))).alias("wide"))
+    means = written(mean.join(usual, "lang"), "kn-means")
+    rated = rated.join(means.select("lang", "usual"), "lang").select("lang", "good", F.explode(F.create_map(F.lit("p"), smooth / F.col("mean"), F.lit("w"), F.col("worst") / F.col("usual"))).alias("name", "x"))
+    factors = written(_limits(rated, quantile), "kn-limits")
+    limits = means
+    for name, by, to, more in (("p", "mean", "limit", float(np.log(margin))), ("w", "usual", "worst_limit", 0.0)):
+        own = factors.where((F.col("name") == name) & (F.col("lang") != "") & (F.col("held") >= FEW)).select("lang", F.col("factor").alias("own"))
+        pooled = factors.where((F.col("name") == name) & (F.col("lang") == "")).select(F.col("factor").alias("pooled"))
+        limits = limits.join(own, "lang", "left").crossJoin(F.broadcast(pooled)).withColumn(to, F.col(by) * F.coalesce("own", 1 + (F.col("pooled") - 1) * F.col("wide")) + more).drop("own", "pooled")
     out = scored.join(limits, "lang", "left").withColumn("nll", F.when(F.col("mean").isNotNull(), smooth).otherwise(F.when(F.col("n") > 0, -F.col("s") / F.col("n"))))
+    out = out.withColumn("worst", F.when(F.col("n") > 0, worst(F.col("n"))))
     return out.select(
-        F.col("id").alias(key), F.when(F.col("lang") != "-", F.expr("substring(lang, 2)")).alias("lang"), F.col("n").alias("n_scored"), F.exp("nll").alias("perplexity"), F.exp("limit").alias("threshold"),
-        F.coalesce(F.col("nll") <= F.col("limit"), F.lit(True)).alias("keep"),
+        F.col("id").alias(key), F.when(F.col("lang") != "-", F.expr("substring(lang, 2)")).alias("lang"), F.col("n").alias("n_scored"), F.exp("nll").alias("perplexity"), F.exp("limit").alias("threshold"), "worst", "worst_limit",
+        (F.coalesce(F.col("nll") <= F.col("limit"), F.lit(True)) & F.coalesce(F.col("worst") <= F.col("worst_limit"), F.lit(True))).alias("keep"),
     )

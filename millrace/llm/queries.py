@@ -25,8 +25,13 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
 
 
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of documents labelled as toxic."""
+    return _table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(_table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+    return quality.classify(_table(spark, sf_dir, "documents"), trusted(spark, sf_dir), toxic=toxic(spark, sf_dir))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -344,6 +344,25 @@ def test_classifier(spark, none):
     assert all(x.keep for x in quality.classify(docs, trusted.limit(0)).collect())
 
 
+def test_worst_stretch_by_hand():
+    lp = np.random.default_rng(4).normal(-2, 1, 60)
+    ends = np.cumsum([0, 20, 0, 3, 6, 31])
+    got = quality.worst_stretches(np.concatenate([[0.0], np.cumsum(lp)]), ends)
+    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        want = [-lp[i : i + 6].mean() for i in range(a, b - 5)]
+        assert got[k] is None if not want else abs(got[k] - max(want)) < 1e-9
+    assert quality.worst_stretches(np.zeros(1), np.array([0, 0])) == [None] and quality.worst_stretches(np.zeros(1), np.array([0])) == []
+
+
+def test_classifier_rejects_insults_in_good_prose(spark):
+    rude = [(1000 + i, " ".join([*prose(900 + i, 150).split(" "), "zqxjkv", *prose(950 + i, 150).split(" ")]), "en") for i in range(40)]
+    docs = spark.createDataFrame([(i, prose(3000 + i, 300), "en") for i in range(300)] + rude, "doc_id long, text string, lang string")
+    keys = lambda ids: spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    keep = {r.doc_id: r.keep for r in quality.classify(docs, keys(range(300)), toxic=keys(range(1000, 1020))).collect()}
+    assert not any(keep[1000 + i] for i in range(20, 40))  # these rows are in no label
+    assert sum(keep[i] for i in range(300)) >= 285  # two limits, each from 30 held-out rows
+
+
 def test_probabilities_sum_to_one(spark):
     """Over all letters that follow a context, the interpolated probabilities sum to at most one, nearly one."""
     t = pa.array([prose(i, 50) for i in range(40)], pa.large_string())
