@@ -363,6 +363,20 @@ def test_classifier_rejects_insults_in_good_prose(spark):
     assert sum(keep[i] for i in range(300)) >= 285  # two limits, each from 30 held-out rows
 
 
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_classifier_of_a_language_with_few_trusted_rows(spark, n):
+    r = random.Random(3)
+    other = [(i, prose(4000 + i, 200), "en") for i in range(120)]
+    for seed in range(2):  # by hash a tenth of n rows is mostly none
+        at = 5000 + 100 * seed
+        rows = [(at + i, prose(at + i, 300), None) for i in range(n + 8)] + [(at + 50 + i, "".join(r.choice("#$%&@!xQZ") for _ in range(600)), None) for i in range(4)]
+        docs = spark.createDataFrame(other + rows, "doc_id long, text string, lang string")
+        trusted = spark.createDataFrame([(i,) for i in [*range(120), *range(at, at + n)]], "doc_id long")
+        got = {x.doc_id: x for x in quality.classify(docs, trusted).collect() if x.lang is None}
+        assert not any(got[at + 50 + i].keep or got[at + 50 + i].threshold is None for i in range(4))
+        assert sum(got[at + i].keep for i in range(n + 8)) >= n + 4
+
+
 def test_probabilities_sum_to_one(spark):
     """Over all letters that follow a context, the interpolated probabilities sum to at most one, nearly one."""
     t = pa.array([prose(i, 50) for i in range(40)], pa.large_string())
