@@ -4,7 +4,9 @@ Each vector is cut into subspaces of two dimensions with 16 centres each (four b
 |r|^2 + (eta - 1) (r . x/|x|)^2 for the residual r of a vector x: the part of the error that is parallel to x, which changes
 high scores, counts eta times. The codebook is fitted on at most SAMPLE rows, those with the smallest hash of the key; every
 row is coded. A search scans four-bit tables, two subspaces at a lookup, over tiles of queries by rows, keeps `depth` rows for
-each query of a tile, and ranks these by the exact inner product in double precision.
+each query of a tile, and ranks these by the exact inner product in double precision. Rows of a tile with equal vectors are
+scanned as one and expanded to their smallest keys after the ranking, so `depth` counts distinct vectors; those that tie with the
+last of them are kept too.
 
 Tiles are bounded by the rows in them, so no task holds all queries or all rows.
 
@@ -165,22 +167,47 @@ def search(rows: DataFrame, is_query, k: int, depth: int = 200, key: str = "vec_
         _, x = vectors(right.column("v").combine_chunks(), book.dim)
         codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
         q_num, num = q_ids.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
-        keep, out_q, out_x, out_s = min(depth, len(num)), [], [], []
+        # each distinct vector once; members: its rows by key, as a query takes k of them and may have to pass over its own
+        _, first, group = np.unique(np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+        x, codes = x[first], codes[first]
+        member = np.lexsort((num, group.ravel()))
+        sizes = np.bincount(group.ravel())
+        starts = np.cumsum(sizes) - sizes
+        low, high = num[member[starts]], num[member[starts + sizes - 1]]
+        keep, out_q, out_x, out_s = min(depth, len(x)), [], [], []
         for s in range(0, len(q), 128):
             tab = book.tables(q[s : s + 128])
             score = tab[0][codes[:, 0]]
             for j in range(1, len(tab)):
                 score += tab[j][codes[:, j]]
-            score = np.where(num[:, None] == q_num[None, s : s + 128], -np.inf, score)
+            asks = q_num[None, s : s + 128]
+            score = np.where((low[:, None] == asks) & (high[:, None] == asks), -np.inf, score)
             top = np.argpartition(-score, keep - 1, axis=0)[:keep]
             for c in range(score.shape[1]):
-                t = top[:, c]
-                t = t[num[t] != q_num[s + c]]
+                t = np.nonzero(score[:, c] >= score[top[:, c], c].min())[0]  # with all that tie with the last
                 exact = (x[t] * q[s + c]).sum(1)
-                best = np.lexsort((num[t], -exact))[:k]
+                # a group's smallest keys: as many as the query takes, and more while rows of its own key are among them
+                rows, scores, want = [], [], k
+                for g, e in sorted(zip(t.tolist(), exact.tolist(), strict=True), key=lambda y: -y[1]):
+                    if want <= 0 and e < scores[-1][0]:
+                        break
+                    own = member[starts[g] : starts[g] + sizes[g]]
+                    lead = own[: k + 1]
+                    own = own if q_num[s + c] in num[lead] else lead
+                    own = own[num[own] != q_num[s + c]][:k]
+                    if len(own):
+                        rows.append(own)
+                        scores.append(np.full(len(own), e))
+                        want -= len(own)
+                if not rows:
+                    continue
+                r, e = np.concatenate(rows), np.concatenate(scores)
+                best = np.lexsort((num[r], -e))[:k]
                 out_q.append(np.full(len(best), s + c))
-                out_x.append(t[best])
-                out_s.append(exact[best])
+                out_x.append(r[best])
+                out_s.append(e[best])
+        if not out_q:
+            return empty
         return pa.table({"q": q_ids.take(pa.array(np.concatenate(out_q))), "id": ids.take(pa.array(np.concatenate(out_x))), "score": pa.array(np.concatenate(out_s))})
 
     found = asked.groupBy("tile").cogroup(cand.groupBy("tile")).applyInArrow(scan, f"q {kind}, id {kind}, score double")

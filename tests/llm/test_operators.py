@@ -443,6 +443,23 @@ def test_search_finds_nearly_all(spark):
     assert np.mean([len(set(by[q]) & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
 
 
+def test_search_among_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TILE_ROWS", 700)  # several tiles
+    r = np.random.default_rng(5)
+    x = r.normal(size=(2400, 16))
+    copies = r.permutation(2400)[:1500]
+    x[copies] = 3 * x[copies[0]] / np.linalg.norm(x[copies[0]])
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, 20, depth=200).collect()
+    want = ann.exact_search(np.arange(2400), x, np.arange(0, 2400, 20), 20)
+    by = collections.defaultdict(list)
+    for g in sorted(got, key=lambda g: (g.query_id, g["rank"])):
+        by[g.query_id].append(g.vec_id)
+    assert all(len(by[q]) == 20 for q in want)
+    for q in set(want) & set(copies.tolist()):
+        assert by[q] == [i for i, _ in want[q]]  # ties to the smaller key, all of them
+    assert np.mean([len(set(by[q]) & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
+
+
 def test_search_of_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.5, 1.0])], "vec_id long, embedding array<double>")
     got = {(r.query_id, r["rank"]): r.vec_id for r in ann.search(few, lambda i: i % 20 == 0, 20).collect()}
