@@ -90,6 +90,11 @@ for _kind, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT J
     flow(f"join_{_kind}", f"SELECT * FROM (SELECT c_custkey, c_name FROM customer WHERE c_custkey > 20) {_sql} (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 60) ON c_custkey = o_custkey", lambda d, k=_kind: [
         read(d, "customer", columns=["c_custkey", "c_name"]), read(d, "orders", columns=["o_orderkey", "o_custkey"]), {"id": "c", "type": "filter", "from": "customer", "where": "row.c_custkey > 20"}, {"id": "o", "type": "filter", "from": "orders", "where": "row.o_custkey < 60"},
         {"id": "out", "type": "join", "from": ["c", "o"], "on": {"c_custkey": "o_custkey"}, "kind": k}])
+# over all rows, with misses on both sides: doubled customer keys run past the last customer, and odd customers of orders have no partner
+for _kind, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
+    flow(f"join_{_kind}_whole", f"SELECT * FROM (SELECT c_custkey, c_name, c_custkey * 2 AS twice FROM customer) {_sql} (SELECT o_orderkey, o_custkey FROM orders) ON twice = o_custkey", lambda d, k=_kind: [
+        read(d, "customer", columns=["c_custkey", "c_name"]), read(d, "orders", columns=["o_orderkey", "o_custkey"]), {"id": "c", "type": "map", "from": "customer", "add": {"twice": typed("[c_custkey] * 2", "l")}},
+        {"id": "out", "type": "join", "from": ["c", "orders"], "on": {"twice": "o_custkey"}, "kind": k}])
 flow("join_multi_key", "SELECT l_orderkey, l_linenumber, s_name, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey", lambda d: [
     read(d, "lineitem", columns=["l_orderkey", "l_linenumber", "l_suppkey"]), read(d, "orders", columns=["o_orderkey", "o_custkey"]), read(d, "customer", columns=["c_custkey", "c_name", "c_nationkey"]), read(d, "supplier", columns=["s_suppkey", "s_name", "s_nationkey"]),
     {"id": "a", "type": "join", "from": ["lineitem", "orders"], "on": {"l_orderkey": "o_orderkey"}}, {"id": "b", "type": "join", "from": ["a", "customer"], "on": {"o_custkey": "c_custkey"}}, {"id": "j", "type": "join", "from": ["b", "supplier"], "on": {"l_suppkey": "s_suppkey", "c_nationkey": "s_nationkey"}},

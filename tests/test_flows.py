@@ -232,3 +232,16 @@ def test_failing_count_fails_the_stage(spark):
         count(spark, [ints(3)], 4)
     with pytest.raises((StageFailed, PySparkException)):
         count(spark, [ints(3), step("map", add={"x": {"lang": "ssisexpr", "expr": "1 / (id - id)"}}), step("filter", id="c", frm="b", where={"lang": "sql", "expr": "x > 0"})], 3)
+
+
+@pytest.mark.parametrize("kind", ["inner", "left", "right", "outer"])
+def test_registered_whole_joins(spark, kind):
+    from millrace.plans.catalogue import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    keys = [2 * r.c_custkey for r in spark.read.parquet(f"{d}/customer.parquet").collect()]
+    orders = [r.o_custkey for r in spark.read.parquet(f"{d}/orders.parquet").collect()]
+    hits, alone, lost = sum(k in keys for k in orders), sum(k not in orders for k in keys), sum(k not in keys for k in orders)
+    assert hits and alone and lost
+    want = hits + (alone if kind in ("left", "outer") else 0) + (lost if kind in ("right", "outer") else 0)
+    assert QUERIES[f"join_{kind}_whole"](spark, d).count() == want
