@@ -19,10 +19,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
@@ -34,7 +36,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, and lost executors don't lose it."""
+    """df as a Parquet table in the shared folder: it cuts the lineage, and lost executors don't lose it. drop() deletes it."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
@@ -42,7 +44,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that written() returned. What still reads them must have been written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def small(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written table with a hint to broadcast it when it has at most `most` rows; otherwise as it is, for a join by exchange."""
+    return F.broadcast(table) if table.count() <= most else table
 
 
 def text_of(name: str = "text") -> Column:
@@ -138,7 +155,10 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         nxt = written(small, tag)
+        drop(cur)
         # a forest of stars: every node has one edge, and no centre is itself a leaf
         if nxt.groupBy("a").count().where("count > 1").isEmpty() and nxt.join(nxt.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty():
-            return nxt.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+            out = nxt.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+            out._written_to = nxt._written_to
+            return out
         cur = nxt

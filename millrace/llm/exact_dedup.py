@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_of, written
+from millrace.llm.common import drop, text_of, written
 
 FIRST_DIGIT, DIGIT_GROWTH = 32, 16
 
@@ -33,24 +33,25 @@ def without_space(text: Column) -> Column:
 def duplicate_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, keep_id, group_size, kept, text_sha256 for each row."""
     norm = without_space(text_of(text))
-    base = docs.select(F.col(key).alias("id"), F.char_length(text_of(text)).cast("long").alias("cp"), F.sha2(norm.cast("binary"), 256).alias("sha"), norm.cast("binary").alias("rest"))
-    digit = F.substring("rest", 1, FIRST_DIGIT)
-    # a table of its own: the join below then reads it through an exchange, and Spark can split a digit that very many rows have
-    shared = written(base.groupBy(digit.alias("digit")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit"), "digits")
-    rows = base.withColumn("digit", digit)
-    alone = rows.drop("rest").join(shared, "digit", "left_anti").select("id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("kept"), "sha")
-    state = written(rows.join(shared, "digit").select("id", "cp", "sha", F.col("digit").alias("node"), F.expr(f"substring(rest, {FIRST_DIGIT + 1})").alias("rest"), F.monotonically_increasing_id().alias("rid")), "radix")
+    base = docs.select(F.col(key).alias("id"), F.char_length(text_of(text)).cast("long").alias("cp"), norm.cast("binary").alias("rest")).withColumn("digit", F.substring("rest", 1, FIRST_DIGIT))
+    shared = written(base.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit", F.lit(True).alias("open")), "digits")
+    # by exchange at every size, as the shared digits grow with the rows; Spark splits a digit that very many rows have
+    rows = base.join(shared.hint("shuffle_hash"), "digit", "left").withColumn("sha", F.sha2("rest", 256)).withColumn("rid", F.monotonically_increasing_id())
+    first = written(rows.select("id", "sha", F.when(F.col("open"), F.col("cp")).alias("cp"), F.when(F.col("open"), F.col("digit")).alias("node"), F.when(F.col("open"), F.expr(f"substring(rest, {FIRST_DIGIT + 1})")).alias("rest"), "rid"), "radix")
+    drop(shared)
+    done = [first.where("node is null").select("id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("kept"), "sha")]
     # members that ended within the first digit have an empty rest: the next round finds them ended
-    done, width = [alone], FIRST_DIGIT
+    state, width = first.where("node is not null"), FIRST_DIGIT
     while not state.isEmpty():
         width *= DIGIT_GROWTH
         keyed = state.withColumn("digit", F.substring("rest", 1, width))
         groups = written(keyed.groupBy("node", "digit").agg(F.count(F.lit(1)).alias("size"), F.min("rid").cast("string").cast("binary").alias("child"), F.max(F.struct("cp", (-F.col("id")).alias("neg"), (-F.col("rid")).alias("row"))).alias("best")), "digits")
         over = (F.col("size") == 1) | (F.octet_length("digit") < width)
         split = written(
-            keyed.join(groups, ["node", "digit"]).select("id", "cp", "sha", "rid", (-F.col("best.neg")).alias("keep"), (-F.col("best.row") == F.col("rid")).alias("kept"), "size", F.col("child").alias("node"), over.alias("over"), F.when(~over, F.expr(f"substring(rest, {width + 1})")).alias("rest")),
+            keyed.join(groups.hint("shuffle_hash"), ["node", "digit"]).select("id", "cp", "sha", "rid", (-F.col("best.neg")).alias("keep"), (-F.col("best.row") == F.col("rid")).alias("kept"), "size", F.col("child").alias("node"), over.alias("over"), F.when(~over, F.expr(f"substring(rest, {width + 1})")).alias("rest")),
             "radix",
         )
+        drop(groups)
         done.append(split.where("over").select("id", "keep", "size", "kept", "sha"))
         state = split.where("not over").select("id", "cp", "sha", "node", "rest", "rid")
     out = done[0]

@@ -1,17 +1,22 @@
 """N-gram Jaccard join by PartEnum signatures, and its connected components.
 
 A document's set holds 64-bit hashes of its distinct word n-grams. Sizes fall into bands such that documents of sufficient
-similarity are in the same band or in neighbouring ones. For each pair of neighbouring bands the hash domain is partitioned into
-n ranges; documents above the threshold differ in at most k hashes, so they agree in at least n - k ranges, and n - k > 1 + the
-number of ranges that are usually empty. The content of each range is a signature; who has n - k empty ranges or more signs
-those too. So each linked pair shares a signature of a range that isn't empty, or both sign an empty one.
+similarity are in the same band or in neighbouring ones; for each pair of neighbouring bands, similar documents differ in at most
+k hashes. The hash domain is partitioned twice: into n ranges, so many that in one of them at most one hash differs, and each
+range into CELLS cells. The signatures are the subsets of CELLS - 1 cells of each range, with their content: of a range with one
+difference, one subset is without it. Subsets without content are signed only by documents that have nothing in too many ranges.
 
 Signatures are exchanged as packed arrays; equal sets, and equal signatures of a slice, go as one. Candidates are stars, not all
-pairs: each member of a signature with the smallest member. Sets of candidates are compared exactly. A signature whose
-members are then in one component is finished. Of the others, documents go whose own hashes are too many for any link; the rest
-sign again by a finer partition and keep their k + 1 rarest signatures. Under those they try more members against four times as
-many centres each round, only between different components, until all their pairs are covered or connected. So no link between
-different components is lost.
+pairs: each member of a signature with the smallest member. Sets of candidates are compared exactly, and linked documents are one
+component. A signature whose members are then in one component is finished.
+
+Members of the other signatures go into a second join, which looks for links between different components only. There, hashes
+that no other component has count for nothing, so documents shrink to their foreign hashes, and go when these are too few for any
+link; without them others have less foreign hashes, so this is done again while it takes out many. What is left of a linked pair
+differs in much less than k hashes: in s1 + s2 - 2 need at most, for the numbers s of foreign hashes and the least common number
+`need`. Pairs are signed by the same two-level partitions, once for each power of LEVEL of that bound, and each pair counts in the
+level of its own bound only. So candidates must be in different components, share foreign content and be able to reach the
+threshold. No link between different components is lost, and no signature has a limit on its members.
 
 Defined results: null or empty texts, or texts without words, have an empty set, are linked with nothing and are components of
 their own; shorter texts than n words have one shingle, the whole sequence; equal sets are linked; rows with the same key are one
@@ -24,13 +29,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, give_back, mix, parts_for, slices, strings, text_of, total_bytes, words_of, written
+from millrace.llm.common import components, drop, give_back, mix, parts_for, slices, strings, text_of, total_bytes, words_of, written
 
 LONGEST = 1 << 40
-FINE = 3
+CELLS, LEVEL = 3, 1.5
 SIGNED_BYTES, SET_BYTES = 8 << 20, 4 << 20
 NO_KEY = 2**63 - 1
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
@@ -68,59 +73,83 @@ def shingles(texts: pa.LargeStringArray, n: int) -> tuple[np.ndarray, np.ndarray
     return out[keep], np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=docs))]).astype(np.int64)
 
 
+def partition_signatures(flat: np.ndarray, doc: np.ndarray, ranges: np.ndarray, most: np.ndarray, salt: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, document) of sorted sets: flat hashes with their documents; ranges, most and salt by document.
+
+    most: how many hashes two documents may differ in; ranges: first-level ranges, more than most / 2. Where ranges is 1 and most is 0 the whole set signs."""
+    if not len(flat):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    cells = (ranges * np.where(most > 0, CELLS, 1)).astype(np.uint64)
+    cell = ((flat >> np.uint64(32)) * cells[doc] >> np.uint64(32)).astype(np.int64)
+    at = np.nonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (cell[1:] != cell[:-1])]))[0]
+    total = np.add.reduceat(mix(flat) | np.uint64(1), at)
+    d, cell = doc[at], cell[at]
+    whole = most[d] == 0
+    sigs, owners = [mix(total[whole] + salt[d[whole]])], [d[whole]]
+    d, cell, total = d[~whole], cell[~whole], total[~whole]
+    if len(d):
+        range_ = cell // CELLS
+        first = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (range_[1:] != range_[:-1])]))[0]
+        full = np.add.reduceat(total, first)
+        filled = np.diff(np.append(first, len(d)))
+        content = np.zeros((len(first), CELLS), np.uint64)
+        content[np.repeat(np.arange(len(first)), filled), cell % CELLS] = total
+        owner, number = d[first], range_[first]
+        # a range with one cell filled has one subset without content
+        rest = full[:, None] - content
+        sig = mix(rest + mix(salt[owner][:, None] + ((number * CELLS)[:, None] + np.arange(CELLS)[None]).astype(np.uint64) * STEPS[1]))
+        some = rest != 0
+        sigs.append(sig[some])
+        owners.append(np.repeat(owner, some.sum(1)))
+        # of the ranges that two documents agree in but for one hash, one has two filled cells at least, unless too many have not
+        thick = np.bincount(owner[filled > 1], minlength=docs)
+        thin = (most > 0) & (ranges - thick >= ranges - most // 2) & (np.bincount(owner, minlength=docs) > 0)
+        for x in np.nonzero(thin)[0]:
+            a, b = np.searchsorted(owner, [x, x + 1])
+            empty = np.ones((int(ranges[x]), CELLS), bool)
+            empty[number[a:b]] = ~some[a:b]
+            place = np.nonzero(empty.ravel())[0].astype(np.uint64)
+            sigs.append(mix(mix(salt[[x]] + place * STEPS[1])))
+            owners.append(np.full(len(place), x))
+    return np.concatenate(sigs), np.concatenate(owners).astype(np.int64)
+
+
+def ranges_for(most: np.ndarray) -> np.ndarray:
+    """First-level ranges for differences in at most `most` hashes: one of them, at least, has one difference or none."""
+    return most // 2 + 1
+
+
 class Scheme:
-    """Bands of sizes and numbers of ranges for a threshold num / den; fine: how many times more ranges than a pair may differ in."""
+    """Bands of sizes, differences k and numbers of ranges n for a threshold num / den."""
 
-    def __init__(self, num: int, den: int, fine: int = 1):
+    def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         hi = [1]
         while hi[-1] < LONGEST:
             hi.append(max(hi[-1] + 1, hi[-1] * den // num))
         self.hi = np.array(hi)
         lo = np.concatenate([[1], self.hi[:-1] + 1])
-        self.k = self.hi * (den - num) // num
-        m = (self.k + 1) * np.exp(-lo / (self.k + 1))
-        self.n = fine * (self.k + 1) + np.where(self.k > 0, np.ceil(m + 6 * np.sqrt(m)), 0).astype(np.int64)
+        # in the two bands of a pair of bands: the larger is at most hi * den / num, the pair differs in (den - num) / (den + num) of both
+        self.k = (self.hi + self.hi * den // num) * (den - num) // (den + num)
+        # ranges with less than two filled cells should be fewer than those that two documents agree in but for one hash
+        mean = lo / ranges_for(self.k)
+        thin = ranges_for(self.k) * (3 * np.exp(-2 * mean / 3) - 2 * np.exp(-mean))
+        self.n = ranges_for(self.k) + np.where(self.k > 0, np.ceil(thin + 3 * np.sqrt(thin)), 0).astype(np.int64)
 
     def signatures(self, flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(signature, document number) pairs of sorted sets."""
-        return self.described(flat, offs)[:2]
-
-    def described(self, flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Signatures, their document numbers and pairs of bands, and whether they are of empty ranges."""
         sizes = np.diff(offs)
         band = np.searchsorted(self.hi, np.maximum(sizes, 1))
-        sigs, docs, unis, none = [], [], [], []
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        mixed = mix(flat)
+        out = []
         for role in (0, 1):  # with the own and the next band, or the band below and the own
-            uni = band - role
-            use = (sizes > 0) & (uni >= 0)
-            use &= (role == 0) | (sizes * self.num <= self.hi[np.maximum(uni, 0)] * self.den)
-            uni = np.where(use, uni, 0)
+            pair = band - role
+            use = (sizes > 0) & (pair >= 0)
+            use &= (role == 0) | (sizes * self.num <= self.hi[np.maximum(pair, 0)] * self.den)
+            pair = np.where(use, pair, 0)
             pick = use[doc]
-            d, n = doc[pick], self.n[uni].astype(np.uint64)[doc[pick]]
-            if not len(d):
-                continue
-            cell = ((flat[pick] >> np.uint64(32)) * n >> np.uint64(32)).astype(np.int64)
-            first = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (cell[1:] != cell[:-1])]))[0]
-            total = np.add.reduceat(mixed[pick], first)
-            count = np.diff(np.append(first, len(d)))
-            d, cell = d[first], cell[first]
-            sigs.append(mix(mix(total + count.astype(np.uint64) * STEPS[0]) + cell.astype(np.uint64) * STEPS[1] + uni[d].astype(np.uint64) * STEPS[2]))
-            docs.append(d)
-            unis.append(uni[d])
-            none.append(np.zeros(len(d), bool))
-            filled = np.bincount(d, minlength=len(sizes))
-            empty = np.where(use, self.n[uni] - filled, 0)
-            for x in np.nonzero(use & (empty >= self.n[uni] - self.k[uni]) & (empty > 0))[0]:
-                a, b = np.searchsorted(d, [x, x + 1])
-                gone = np.setdiff1d(np.arange(self.n[uni[x]]), cell[a:b])
-                sigs.append(mix(gone.astype(np.uint64) * STEPS[3] + uni[[x]].astype(np.uint64) * STEPS[4] + np.uint64(1)))
-                docs.append(np.full(len(gone), x))
-                unis.append(np.full(len(gone), uni[x]))
-                none.append(np.ones(len(gone), bool))
-        return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((sigs, np.uint64), (docs, np.int64), (unis, np.int64), (none, bool)))
+            out.append(partition_signatures(flat[pick], doc[pick], self.n[pair], self.k[pair], mix((pair + 1).astype(np.uint64) * STEPS[2]), len(sizes)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 FLOW = "kind int, part int, sig long, a long, b long, n long, d1 long, d2 long, blob binary"
@@ -221,37 +250,71 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, set array<bigint>")
 
 
-def _rarest(active: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """(part, sig, id, n, u, r, f, most, own) of the active documents: of the signatures of a finer scheme, the k + 1 rarest of each document.
+def levels(most: int) -> list[int]:
+    """Bounds on differences, each about LEVEL times the one before, up to `most` at least."""
+    out = [0]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, int(out[-1] * LEVEL)))
+    return out
 
-    r: rank among the f filled ranges (0: of an empty range); most: k; own: signed for the pair of bands that begins with the document's.
 
-    Documents that differ in at most k ranges share all but k of the filled ranges of each; so the rarest signature that they share is
-    among the k + 1 rarest of both, in any order that is the same for all. Signatures of empty ranges stay."""
-    ids = active.select("id", "u").distinct()
+def foreign(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """rows(v, id, comp, n, set) with the hashes that other components have too, without those that have too few of them for a link."""
+    while True:
+        hashes = rows.select("v", "comp", F.explode("set").alias("h"))
+        told = hashes.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("h")
+        kept = hashes.join(told.hint("shuffle_hash"), "h", "left_semi").groupBy("v").agg(F.collect_list("h").alias("set")).where("size(set) > 0")
+        after = written(rows.drop("set").join(kept, "v").where(F.size("set") * den >= F.col("n") * num), "foreign")
+        before, left = rows.count(), after.count()
+        drop(rows)
+        rows = after
+        if left >= 0.9 * before:
+            return rows
+
+
+def foreign_signatures(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(level, sig, id, comp, n, s, above, upto) of foreign sets: a pair signs for each bound on its differences that it can have, and counts where above < bound <= upto."""
 
     def run(batches):
-        for batch in batches:
-            offs = batch.column("set").offsets.to_numpy().astype(np.int64)
-            flat = batch.column("set").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            offs, sizes = offs - offs[0], np.diff(offs)
-            some = np.nonzero(sizes > 0)[0]
-            sig, doc, uni, none = scheme.described(flat, offs)
-            digest = np.zeros(len(sizes), np.uint64)
-            if len(some):
-                digest[some] = np.add.reduceat(mix(flat), offs[:-1][some])
-            own = uni == np.searchsorted(scheme.hi, np.maximum(sizes, 1))[doc]
-            filled = np.bincount((2 * doc + own)[~none], minlength=2 * len(sizes))[2 * doc + own]
-            cols = [pa.array(uni.astype(np.int32)), pa.array(sig.view(np.int64)), batch.column("id").take(pa.array(doc)), pa.array(digest[doc].view(np.int64)), pa.array(sizes[doc].astype(np.int64))]
-            cols += [pa.array(filled.astype(np.int64)), pa.array(scheme.k[uni].astype(np.int64)), pa.array(none), pa.array(own)]
-            yield pa.RecordBatch.from_arrays(cols, ["part", "sig", "id", "row", "n", "f", "most", "none", "own"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                col = batch.column("set")
+                sizes = pc.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
+                offs = np.concatenate([[0], np.cumsum(sizes)])
+                flat = pc.list_flatten(col).to_numpy(zero_copy_only=False).view(np.uint64).copy()
+                for x, y in zip(offs[:-1], offs[1:], strict=True):
+                    flat[x:y].sort()
+                n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+                doc = np.repeat(np.arange(len(n)), sizes)
+                # the most that s1 + s2 - 2 need can be: the partner as large as may be, all of it foreign
+                other = n * den // num
+                most = np.maximum(sizes + other - 2 * (-(-num * (n + other) // (num + den))) + 1, 0)
+                bounds = levels(int(most.max(initial=0)))
+                for level, (above, upto) in enumerate(zip([-1, *bounds[:-1]], bounds, strict=True)):
+                    signs = most > above
+                    pick = signs[doc]
+                    k = np.full(len(n), upto)
+                    sig, own = partition_signatures(flat[pick], doc[pick], ranges_for(k), k, np.full(len(n), mix(np.uint64([(level + 1) * 0x51ED27])), np.uint64), len(n))
+                    take = pa.array(own)
+                    cols = [pa.array(np.full(len(own), level, np.int32)), pa.array(sig.view(np.int64)), *(batch.column(c).take(take) for c in ("id", "comp", "n")), pa.array(sizes[own])]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(own), above, np.int64)), pa.array(np.full(len(own), upto, np.int64))], ["level", "sig", "id", "comp", "n", "s", "above", "upto"])
         give_back()
 
-    all_ = written(sets.join(ids, "id", "left_semi").mapInArrow(run, "part int, sig long, id long, row long, n long, f long, most long, none boolean, own boolean"), "finer")
-    shared = all_.groupBy("part", "sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    ranked = all_.join(shared, ["part", "sig"], "left").withColumn("r", F.row_number().over(Window.partitionBy("id", "row", "part", "none").orderBy(F.coalesce("c", F.lit(1)), "sig")))
-    kept = ranked.where("c is not null and (none or r <= most + 1)").withColumn("r", F.when(F.col("none"), 0).otherwise(F.col("r")))
-    return written(kept.select("part", "sig", "id", "n", "r", "f", "most", "own").distinct().join(ids, "id"), "rarest")
+    return rows.select("id", "comp", "n", "set").mapInArrow(run, "level int, sig long, id long, comp long, n long, s long, above long, upto long")
+
+
+def across(signed: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), a > b, of different components that share a signature of the level of their bound and can reach the threshold."""
+    open_ = signed.groupBy("level", "sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("level", "sig")
+    rows = written(signed.join(open_.hint("shuffle_hash"), ["level", "sig"], "left_semi"), "across")
+    other = rows.select("level", "sig", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    need = F.ceil(num * (F.col("n") + F.col("nb")) / (num + den))
+    bound = F.col("s") + F.col("sb") - 2 * need
+    may = (F.col("id") > F.col("b")) & (F.col("comp") != F.col("cb")) & (need <= F.least("s", "sb")) & (bound > F.col("above")) & (bound <= F.col("upto"))
+    pairs = written(rows.join(other, ["level", "sig"]).where(may).select(F.col("id").alias("a"), "b").distinct(), "candidates")
+    drop(rows)
+    return pairs
 
 
 def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -262,98 +325,65 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     parts = parts_for(spark, nbytes / 2, 16 << 20)
     flow = _signed(base, n, Scheme(num, den), parts).groupBy("part").applyInArrow(_gather, FLOW).drop("blob")
     flow = written(flow, "partenum")
-    documents = flow.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("id"), "n", "d1", "d2")
+    documents = written(flow.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("id"), "n", "d1", "d2"), "documents")
     classes = documents.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     rep = written(documents.join(classes, ["d1", "d2", "n"]).select("id", "n", "rep"), "classes")
     same = rep.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     ra, rb = rep.select(F.col("id").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na")), rep.select(F.col("id").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
     members = flow.where(F.col("kind") == MEMBER).select("part", "sig", "a", "b")
     stars = written(members.join(ra, "a").join(rb, "b").where("ra <> rb").select("part", "sig", F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb").distinct(), "stars")
+    drop(flow)
     fits = F.col("na") * num <= F.col("nb") * den
     fits &= F.col("nb") * num <= F.col("na") * den
     pairs = written(stars.where(fits).groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "pairs")
     if pairs.isEmpty():
         comp = components(same) if not same.isEmpty() else None
+        drop(rep, stars, pairs)
         return _labelled(documents, comp, key)
     involved = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(_sets(base.join(involved, "id", "left_semi"), n), "sets")
+    sets = written(_sets(base.join(involved, "id", "left_semi"), n).withColumn("v", F.monotonically_increasing_id()), "sets")
+    seen: list[DataFrame] = []
 
     def verified(todo: DataFrame) -> DataFrame:
         left = todo.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
         inter = F.size(F.array_intersect("sa", "sb"))
-        return written(both.select("a", "b", (inter * den >= (F.size("sa") + F.size("sb") - inter) * num).alias("linked")).groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
-
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    seen = verified(best)
-    edges = same.union(seen.where("linked").select("a", "b"))
-    comp = components(edges)
+        seen.append(written(both.select("a", "b", (inter * den >= (F.size("sa") + F.size("sb") - inter) * num).alias("linked")).groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified"))
+        return seen[-1].where("linked").select("a", "b")
 
-    def apart(p: DataFrame) -> DataFrame:
-        """Pairs between different components that were not compared yet."""
-        ca, cb = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-        open_ = p.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        return open_.select("a", "b").join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    comp = components(same.union(verified(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")))))
+    drop(rep)
 
     def grow(p: DataFrame) -> None:
-        nonlocal seen, edges, comp
-        got = verified(p)
-        seen = seen.unionAll(got)
-        new = got.where("linked").select("a", "b")
+        """Compares the pairs of different components that were not compared yet."""
+        nonlocal comp
+        ca, cb = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+        todo = p.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        for s in seen:
+            todo = todo.join(s.select("a", "b"), ["a", "b"], "left_anti")
+        todo = written(todo, "todo")
+        new = verified(todo)
+        drop(todo, p)
         if not new.isEmpty():
-            edges = components(edges.union(new)).select(F.col("id").alias("a"), F.col("comp").alias("b"))
-            comp = edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
-
-    todo = written(apart(pairs), "todo")
-    if not todo.isEmpty():
-        grow(todo)
-    # signatures with members in several components: more centres each round
-    every = written(stars.select("part", "sig", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("n")), F.struct(F.col("b").alias("id"), F.col("nb").alias("n")))).alias("m")).select("part", "sig", "m.id", "m.n").distinct(), "members")
-
-    def mixed(rows: DataFrame, least: int) -> DataFrame:
-        """Members of signatures that have more than least members, in two components or more; k: how many members."""
-        named = rows.drop("comp", "k").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = named.groupBy("part", "sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("k")).where(f"c1 <> c2 and k > {least}").select("part", "sig", "k")
-        return written(named.join(open_, ["part", "sig"]), "active")
-
-    active = _rarest(_likely(mixed(every, 2), sets, num, den), sets, Scheme(num, den, FINE))
-    shared = (F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub")) * (num + den) >= (F.col("na") + F.col("nb")) * num) & fits
-    # pairs of one band are in two pairs of bands, one is enough; the first signature that a linked pair shares has enough others behind it
-    shared &= (F.col("owna") | F.col("ownb")) & (F.least(F.col("fa") - F.col("ra"), F.col("fb") - F.col("rb")) + 1 >= F.greatest("fa", "fb") - F.col("most"))
-    centres = 2
-    while True:
-        active = mixed(active, 1)
-        largest = active.agg(F.max("k")).first()[0]
-        if largest is None or centres // 4 >= largest:
-            break
-        ranked = active.withColumn("place", F.row_number().over(Window.partitionBy("part", "sig").orderBy("id")))
-        hubs = ranked.where(F.col("place") <= centres).select("part", "sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("comp").alias("cb"), F.col("r").alias("rb"), F.col("f").alias("fb"), F.col("own").alias("ownb"))
-        cand = ranked.select("part", "sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), "comp", F.col("r").alias("ra"), F.col("f").alias("fa"), F.col("own").alias("owna"), "most").join(hubs, ["part", "sig"]).where((F.col("comp") != F.col("cb")) & shared)
-        cand = cand.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        todo = written(apart(cand), "todo")
-        if not todo.isEmpty():
-            grow(todo)
-        centres *= 4
+            old, comp = comp, components(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(new))
+            drop(old)
+
+    grow(pairs)
+    # signatures with more than two members, in several components
+    every = stars.select("part", "sig", F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    every = written(every, "members")
+    drop(stars)
+    mixed = every.groupBy("part", "sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("k")).where("c1 <> c2 and k > 2").select("part", "sig")
+    active = written(every.join(mixed.hint("shuffle_hash"), ["part", "sig"], "left_semi").select("id", "comp").distinct(), "active")
+    drop(every)
+    rows = foreign(written(sets.join(active, "id").select("v", "id", "comp", F.size("set").cast("long").alias("n"), "set"), "open"), num, den)
+    drop(active)
+    signed = written(foreign_signatures(rows, num, den), "finer")
+    grow(across(signed, num, den))
+    drop(rows, signed, sets, *seen)
     return _labelled(documents, comp, key)
 
 
-def _likely(active: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Members that may still be linked to another member, with u, the number of hashes that no other member has.
-
-    A pair has at most min(na - ua, nb - ub) hashes in common; a document whose own hashes alone are too many is linked with nothing.
-    Without it others have more hashes of their own, so this is done again while it takes out many."""
-    while True:
-        ids = active.select("id", "n").distinct()
-        hashes = sets.join(ids, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set")).select("id", F.explode("set").alias("h"))
-        own = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
-        told = ids.join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-        told = written(told.withColumn("may", (F.col("n") - F.col("u")) * den >= F.col("n") * num), "own")
-        size = told.agg(F.count(F.lit(1)).alias("n"), F.count_if("may").alias("m")).first()
-        active = written(active.drop("u").join(told.where("may").select("id", "u"), "id"), "active")
-        if size["m"] >= 0.9 * size["n"]:
-            return active
-
-
 def _labelled(documents: DataFrame, comp: DataFrame | None, key: str) -> DataFrame:
     out = documents.join(comp, "id", "left") if comp is not None else documents.withColumn("comp", F.col("id"))
     return out.select(F.nullif("id", F.lit(NO_KEY)).alias(key), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("comp", "id"), F.lit(NO_KEY)).alias("component_id"))
