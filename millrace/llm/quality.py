@@ -3,7 +3,7 @@
 The model counts the character n-grams of all trusted documents but a fold that is kept for calibration. Counts, continuation
 counts, discounts and context sums are aggregated and joined by n-gram, so they are sharded over the cluster by (language,
 n-gram). Each block of documents sends its distinct n-grams to those shards once and gets a log probability for each back;
-documents move through one shuffle by block, which both passes read. A document is kept when its perplexity and its worst
+documents move by block, as compressed packs of rows, once for each of the two passes. A document is kept when its perplexity and its worst
 stretch (the STRETCH characters with the highest mean) are each at most their language's limit. A limit is set on trusted
 documents that the model has not seen, and on documents labelled toxic: of the limits that lose at most 1 - quantile (perplexity) or
 the share LOST (worst stretch) of the trusted ones it is that with most of the toxic ones rejected less trusted ones lost; without toxic ones it is the quantile.
@@ -23,13 +23,16 @@ document labelled more than once is trusted when any row says so; an empty table
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import give_back, parts_for, slices, strings, text_of, total_bytes, written
+from millrace.llm.common import drop, give_back, slices, small, strings, text_of, total_bytes, written
 
 ORDER, BITS, FOLD, FOLDED = 5, 12, 4000, 96
 BLOCK_BYTES = 32 << 20
@@ -69,6 +72,35 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
+def _packed(base: DataFrame) -> DataFrame:
+    """(block, pack) of base(id, text, lang, block): the rows of a slice by block, compressed. Memory: one slice."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                part = part.take(pc.sort_indices(part, [("block", "ascending")]))
+                number = part.column("block").to_numpy(zero_copy_only=False)
+                at = np.nonzero(np.concatenate([[True], number[1:] != number[:-1]]))[0]
+                packs = []
+                for a, b in zip(at.tolist(), np.append(at[1:], len(number)).tolist(), strict=True):
+                    run_ = part.slice(a, b - a)
+                    packs.append(press.compress(pickle.dumps((run_.column("id").type, *(run_.column(c).to_pylist() for c in ("id", "text", "lang"))))))
+                yield pa.RecordBatch.from_arrays([pa.array(number[at], pa.int32()), pa.array(packs, pa.binary())], ["block", "pack"])
+        give_back()
+
+    return base.mapInArrow(run, "block int, pack binary")
+
+
+def _unpacked(table: pa.Table) -> pa.Table:
+    """The rows (id, text, lang) of a block's packs."""
+    press, parts = zstandard.ZstdDecompressor(), []
+    for pack in table.column("pack"):
+        kind, ids, texts, langs = pickle.loads(press.decompress(pack.as_buffer()))
+        parts.append(pa.table({"id": pa.array(ids, kind), "text": pa.array(texts, pa.large_string()), "lang": pa.array(langs, pa.string())}))
+    return pa.concat_tables(parts) if parts else pa.table({"id": pa.array([], pa.int64()), "text": pa.array([], pa.large_string()), "lang": pa.array([], pa.string())})
+
+
 def _by_language(table: pa.Table):
     """(language, rows, texts, trusted) of each language of small slices of a block's table."""
     for part in slices(table, "text", 2 << 20):
@@ -99,13 +131,16 @@ def _folds(texts: DataFrame, marks: DataFrame) -> DataFrame:
     own = written(texts.join(marks, "id").distinct(), "kn-trusted")
     sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     order = F.xxhash64(F.lit(11), "id")
-    own = own.join(sizes, "lang")
+    whole, sizes = own, written(sizes, "kn-sizes")
+    own = own.join(small(sizes), "lang")
     few = F.col("size") < 2 * FEW * FOLDS
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "id"))
     # only languages with few trusted documents are ranked
-    small = own.where(few).withColumn("held", rank <= F.greatest(F.least(F.floor(F.col("size") / 2), F.lit(FEW)), F.floor(F.col("size") / FOLDS)))
-    both = small.unionByName(own.where(~few).withColumn("held", F.pmod(order, F.lit(FOLDS)) == 0))
-    return written(both.groupBy("id").agg(F.bool_or("held").alias("held"), F.bool_or(F.col("size") == 1).alias("half")), "kn-folds")
+    rare = own.where(few).withColumn("held", rank <= F.greatest(F.least(F.floor(F.col("size") / 2), F.lit(FEW)), F.floor(F.col("size") / FOLDS)))
+    both = rare.unionByName(own.where(~few).withColumn("held", F.pmod(order, F.lit(FOLDS)) == 0))
+    out = written(both.groupBy("id").agg(F.bool_or("held").alias("held"), F.bool_or(F.col("size") == 1).alias("half")), "kn-folds")
+    drop(whole, sizes)
+    return out
 
 
 def _limits(rated: DataFrame, quantile: float) -> DataFrame:
@@ -129,13 +164,13 @@ def _discount(c: Column) -> Column:
 
 
 def log_probabilities(grams: DataFrame) -> DataFrame:
-    """(lang, gram, lp) for each distinct gram of grams(lang, gram, c); c, summed, counts it in trusted text."""
+    """(lang, gram, lp) for each distinct gram of grams(lang, gram, c), a written table; c, summed, counts it in trusted text."""
     wanted = written(grams.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "kn-grams")
     counts = {ORDER: wanted.where("c > 0")}
     for k in range(ORDER - 1, 0, -1):
         counts[k] = counts[k + 1].groupBy("lang", F.col("gram").bitwiseAND(_mask(k)).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
         counts[k] = written(counts[k], f"kn-counts{k}")
-    letters = counts[1].groupBy("lang").agg(F.count(F.lit(1)).alias("letters"))
+    letters = written(counts[1].groupBy("lang").agg(F.count(F.lit(1)).alias("letters")), "kn-letters")
     below = None
     for k in range(1, ORDER + 1):
         need = wanted.select("lang", F.col("gram").bitwiseAND(_mask(k)).alias("gram")).distinct() if k < ORDER else wanted.select("lang", "gram")
@@ -143,19 +178,23 @@ def log_probabilities(grams: DataFrame) -> DataFrame:
         cc = counts[k].groupBy("lang").agg(*(x.alias(f"n{i}") for i, x in enumerate(n, 1)))
         y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0))
         d = lambda i, hi: F.least(F.greatest(F.coalesce(i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0)), F.lit(0.5 * hi)), F.lit(0.1)), F.lit(hi * 0.95))
-        disc = cc.select("lang", d(1, 1).alias("d1"), d(2, 2).alias("d2"), d(3, 3).alias("d3"))
+        disc = written(cc.select("lang", d(1, 1).alias("d1"), d(2, 2).alias("d2"), d(3, 3).alias("d3")), "kn-discounts")
         ctx = counts[k].groupBy("lang", F.shiftright("gram", BITS).alias("ctx")).agg(F.sum("c").alias("total"), *(F.count_if(x).alias(m) for m, x in (("m1", F.col("c") == 1), ("m2", F.col("c") == 2), ("m3", F.col("c") >= 3))))
         t = need.withColumn("ctx", F.shiftright("gram", BITS)).withColumn("low", F.col("gram").bitwiseAND(_mask(k - 1)))
-        t = t.join(counts[k].select("lang", "gram", "c"), ["lang", "gram"], "left").join(ctx, ["lang", "ctx"], "left").join(disc, "lang", "left")
+        t = t.join(counts[k].select("lang", "gram", "c"), ["lang", "gram"], "left").join(ctx, ["lang", "ctx"], "left").join(small(disc), "lang", "left")
         if below is None:
-            t = t.join(letters, "lang", "left").withColumn("p0", 1.0 / (F.coalesce("letters", F.lit(0)) + 1))
+            t = t.join(small(letters), "lang", "left").withColumn("p0", 1.0 / (F.coalesce("letters", F.lit(0)) + 1))
         else:
             t = t.join(below.select("lang", F.col("gram").alias("low"), F.col("p").alias("p0")), ["lang", "low"])
         gamma = (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total")
         c = F.coalesce(F.col("c"), F.lit(0))
         p = F.when(F.col("total").isNull(), F.col("p0")).otherwise(F.greatest(c - _discount(c), F.lit(0.0)) / F.col("total") + gamma * F.col("p0"))
-        below = written(t.select("lang", "gram", p.alias("p")), f"kn-p{k}")
-    return below.select("lang", "gram", F.log("p").cast("float").alias("lp"))
+        lower, below = below, written(t.select("lang", "gram", p.alias("p")), f"kn-p{k}")
+        drop(disc, *([lower] if lower is not None else []), *([counts[k]] if k < ORDER else []))
+    drop(wanted, letters)
+    out = below.select("lang", "gram", F.log("p").cast("float").alias("lp"))
+    out._written_to = below._written_to
+    return out
 
 
 def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, toxic: DataFrame | None = None) -> DataFrame:
@@ -175,7 +214,8 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
     folds = _folds(base.where("text <> ''").select("id", "lang"), marks)
     train = folds.where("not held").select("id", "half").withColumn("block", block(F.col("id")))
 
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+    def count(packs: pa.Table, right: pa.Table) -> pa.Table:
+        left = _unpacked(packs)
         own = pc.is_in(left.column("id"), value_set=right.column("id").combine_chunks())
         halved = pc.is_in(left.column("id"), value_set=right.filter(right.column("half")).column("id").combine_chunks())
         table = left.append_column("trains", pc.add(pc.cast(own, pa.int8()), pc.cast(halved, pa.int8())))
@@ -193,17 +233,19 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
         out = [(name, *_merged(parts)) for name, parts in seen.items()]
         seen.clear()
         give_back()
-        number = left.column("block")[0].as_py() if left.num_rows else 0
+        number = packs.column("block")[0].as_py() if packs.num_rows else 0
         size = sum(len(k) for _, k, _ in out)
         cat = lambda i: np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64)
         names = pa.array(np.repeat([x[0] for x in out], [len(x[1]) for x in out]).tolist() if size else [], pa.string())
         return pa.table({"block": pa.array(np.full(size, number, np.int32)), "lang": names, "gram": pa.array(cat(1), pa.int64()), "c": pa.array(cat(2), pa.int64())})
 
-    by_block = base.groupBy("block")
+    by_block = _packed(base.select("id", "text", "lang", "block")).groupBy("block")
     grams = written(by_block.cogroup(train.groupBy("block")).applyInArrow(count, "block int, lang string, gram long, c long"), "kn-seen")
-    reply = grams.select("block", "lang", "gram").join(log_probabilities(grams.select("lang", "gram", "c")), ["lang", "gram"])
+    model = log_probabilities(grams.select("lang", "gram", "c"))
+    reply = grams.select("block", "lang", "gram").join(model, ["lang", "gram"])
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    def score(packs: pa.Table, right: pa.Table) -> pa.Table:
+        left = _unpacked(packs)
         langs = right.column("lang").to_pandas().to_numpy()
         grams_, lps = right.column("gram").to_numpy(), right.column("lp").to_numpy()
         model = {}
@@ -232,25 +274,29 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
         return pa.table({"id": left.column("id").take(pa.array(order, pa.int64())), "lang": pa.array(names, pa.string()), "n": pa.array(ns, pa.int64()), "s": pa.array(sums, pa.float64()), "tail": pa.array(tails, pa.float64()), "w": pa.array(worst, pa.float64())})
 
     scored = written(by_block.cogroup(reply.groupBy("block")).applyInArrow(score, f"id {kind}, lang string, n long, s double, tail double, w double"), "kn-scores")
+    drop(grams, model)
     held = scored.join(folds.where("held or half"), "id").withColumn("s", F.when(F.col("half"), F.col("tail")).otherwise(F.col("s"))).withColumn("m", F.when(F.col("half"), F.col("n") - F.floor(F.col("n") / 2)).otherwise(F.col("n")))
     mean = held.groupBy("lang").agg((-F.sum("s") / F.sum("m")).alias("mean")).where("mean > 0")
-    held = held.join(mean, "lang").select("lang", F.col("m").alias("n"), "s", F.col("n").alias("chars"), "w", "mean", F.lit(True).alias("good"))
+    mean = written(mean, "kn-mean")
+    held = held.join(small(mean), "lang").select("lang", F.col("m").alias("n"), "s", F.col("n").alias("chars"), "w", "mean", F.lit(True).alias("good"))
     smooth = (PRIOR * F.col("mean") - F.col("s")) / (F.col("n") + PRIOR)
     worst = lambda n: F.coalesce("w", (F.col("mean") * (STRETCH - n) - F.col("s")) / STRETCH)
     rated = held.withColumn("worst", worst(F.col("chars")))
     if toxic is not None:
-        bad = scored.join(keys_of(toxic).join(marks, "id", "left_anti"), "id", "left_semi").join(mean, "lang").select("lang", "n", "s", F.col("n").alias("chars"), "w", "mean", F.lit(False).alias("good"))
+        bad = scored.join(keys_of(toxic).join(marks, "id", "left_anti"), "id", "left_semi").join(small(mean), "lang").select("lang", "n", "s", F.col("n").alias("chars"), "w", "mean", F.lit(False).alias("good"))
         rated = rated.unionByName(bad.withColumn("worst", worst(F.col("chars"))))
     usual = rated.where("good").groupBy("lang").agg(F.avg("worst").alias("usual"), (1 + 2 / F.sqrt(F.count(F.lit(1)))).alias("wide"))
     means = written(mean.join(usual, "lang"), "kn-means")
-    rated = rated.join(means.select("lang", "usual"), "lang").select("lang", "good", F.explode(F.create_map(F.lit("p"), smooth / F.col("mean"), F.lit("w"), F.col("worst") / F.col("usual"))).alias("name", "x"))
-    factors = written(_limits(rated, quantile), "kn-limits")
+    rated = rated.join(small(means).select("lang", "usual"), "lang").select("lang", "good", F.explode(F.create_map(F.lit("p"), smooth / F.col("mean"), F.lit("w"), F.col("worst") / F.col("usual"))).alias("name", "x"))
+    factors = written(_limits(rated, quantile), "kn-factors")
     limits = means
     for name, by, to, more in (("p", "mean", "limit", float(np.log(margin))), ("w", "usual", "worst_limit", 0.0)):
         own = factors.where((F.col("name") == name) & (F.col("lang") != "") & (F.col("held") >= FEW)).select("lang", F.col("factor").alias("own"))
         pooled = factors.where((F.col("name") == name) & (F.col("lang") == "")).select(F.col("factor").alias("pooled"))
         limits = limits.join(own, "lang", "left").crossJoin(F.broadcast(pooled)).withColumn(to, F.col(by) * F.coalesce("own", 1 + (F.col("pooled") - 1) * F.col("wide")) + more).drop("own", "pooled")
-    out = scored.join(limits, "lang", "left").withColumn("nll", F.when(F.col("mean").isNotNull(), smooth).otherwise(F.when(F.col("n") > 0, -F.col("s") / F.col("n"))))
+    limits = written(limits, "kn-limits")
+    drop(folds, mean, means, factors)
+    out = scored.join(small(limits), "lang", "left").withColumn("nll", F.when(F.col("mean").isNotNull(), smooth).otherwise(F.when(F.col("n") > 0, -F.col("s") / F.col("n"))))
     out = out.withColumn("worst", F.when(F.col("n") > 0, worst(F.col("n"))))
     return out.select(
         F.col("id").alias(key), F.when(F.col("lang") != "-", F.expr("substring(lang, 2)")).alias("lang"), F.col("n").alias("n_scored"), F.exp("nll").alias("perplexity"), F.exp("limit").alias("threshold"), "worst", "worst_limit",
