@@ -12,7 +12,8 @@ Tiles are bounded by the rows in them, so no task holds all queries or all rows.
 
 Defined results: vectors that are null, zero, of another length than most of the sample's, or hold null or non-finite
 components take no part, as rows or queries; ties go to the smaller key; a query never finds its own row, but rows with equal
-vectors find each other; rows with the same key count as the query's own; with fewer candidates all are returned; an empty
+vectors find each other; of usable rows with the same key that with the smallest vector (by its first component, then the second, and
+so on) is the query, and none of them is a candidate of it; each of them is a candidate of other queries; with fewer candidates all are returned; an empty
 table gives an empty table.
 """
 
@@ -156,7 +157,8 @@ def search(rows: DataFrame, is_query, k: int, depth: int = 200, key: str = "vec_
     coded = base.mapInArrow(code, f"id {kind}, v {element}, code binary")
     spread = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.lit(n)).cast("int")
     cand = coded.withColumn("col", spread(across, 1)).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn("tile", F.col("row") * across + F.col("col"))
-    asked = base.where(is_query(F.col("id"))).withColumn("row", spread(down, 2)).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).withColumn("tile", F.col("row") * across + F.col("col"))
+    one = base.where(is_query(F.col("id"))).mapInArrow(code, f"id {kind}, v {element}, code binary").groupBy("id").agg(F.min("v").alias("v"))
+    asked = one.withColumn("row", spread(down, 2)).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).withColumn("tile", F.col("row") * across + F.col("col"))
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         qi, q = vectors(left.column("v").combine_chunks(), book.dim)

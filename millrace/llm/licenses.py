@@ -2,7 +2,7 @@
 
 A rule is a regular expression over words: it begins with a literal head word, needs a keyword in the words that follow, has a
 label, a priority and a weight. A text first passes a keyword test; only then are its words taken, and rules are tried only
-where a head word stands, on the next WINDOW words, and only those whose head and keyword are there. Of overlapping detections
+where a head word stands, on as many words as the longest rule can match, and only those whose head and keyword are there. Of overlapping detections
 one is suppressed when another of higher priority (or the same priority and more words, or else an earlier rule) contains its
 words. Base phrases are detections that are never suppressed.
 
@@ -24,7 +24,6 @@ from millrace.llm.common import text_of
 
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NON_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WINDOW = 14
 
 #: Keywords of the first test, over the lower-cased text; each rule has one of them in its words.
 GATE = r"licen|spdx|gpl|creative[^a-z0-9]+commons|cc[^a-z0-9]+(?:by|0|zero)|public[^a-z0-9]+domain"
@@ -143,6 +142,11 @@ def rules() -> list[tuple[str, str, str, str, int, float, bool]]:
     return list(dict.fromkeys(out))
 
 
+def longest(table: list[tuple]) -> int:
+    """Words that a rule can match at most: no rule repeats without bound, so there is a space in it for each word."""
+    return max((r[2].count(" ") - 1 for r in table), default=1)
+
+
 def _literal(table: list[tuple]) -> Column:
     """Rules by head word, as a constant map."""
     heads: dict[str, list[dict]] = {}
@@ -157,7 +161,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", table: list[t
     heads = F.array(*[F.lit(h) for h in dict.fromkeys(r[0] for r in table)])
     by_head = _literal(table)
     per_head = max((sum(r[0] == h for r in table) for h in {r[0] for r in table}), default=1)
-    reach = WINDOW * per_head  # detections that can begin within a window before a place
+    window = longest(table)
+    reach = window * per_head  # detections that can begin within a window before a place
     t = text_of(text)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     ws = docs.select(
@@ -167,7 +172,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", table: list[t
     )
     places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("ws") - 1, F.lit(0))), lambda i: F.array_contains(heads, F.get(F.col("ws"), i)))
     cands = ws.select(
-        key, "n_words", F.when(F.size("ws") > 0, F.transform(places, lambda i: F.struct(i.cast("long").alias("at"), F.get(F.col("ws"), i).alias("head"), F.concat(F.lit(" "), F.array_join(F.slice(F.col("ws"), i + 1, WINDOW), " "), F.lit(" ")).alias("win")))).alias("cands")
+        key, "n_words", F.when(F.size("ws") > 0, F.transform(places, lambda i: F.struct(i.cast("long").alias("at"), F.get(F.col("ws"), i).alias("head"), F.concat(F.lit(" "), F.array_join(F.slice(F.col("ws"), i + 1, window), " "), F.lit(" ")).alias("win")))).alias("cands")
     )
 
     def tried(c: Column) -> Column:

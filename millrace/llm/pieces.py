@@ -129,7 +129,8 @@ def vocabulary(model_file: str) -> PieceVocabulary:
 def encode_texts(v: PieceVocabulary, texts: pa.LargeStringArray) -> tuple[list[list[list[int]]], int]:
     """For each text the ids of its segments, and the number of segments where the library differed."""
     marked = pc.replace_substring(texts, " ", SPACE)
-    hard = pc.match_substring(marked, SPACE + SPACE).to_pylist()
+    # with the mark that the library puts before a text, two marks in a row
+    hard = pc.or_(pc.match_substring(marked, SPACE + SPACE), pc.starts_with(marked, SPACE)).to_pylist()
     plain = pc.split_pattern(marked, SPACE)
     enc = plain.flatten().dictionary_encode()
     offs = plain.offsets.to_numpy()

@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import ann, exact_dedup, jaccard, licenses, packing, pieces, quality, suffix_dedup, token_counts, warc
 
-TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokenizer(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """The file of a public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import new_path, text_of
+from millrace.llm.common import new_path, text_of, total_bytes
 
 VERSION = b"WARC/1.1"
 GZIP = b"\x1f\x8b\x08"
@@ -59,22 +59,28 @@ def member(plain: bytes, level: int = 6) -> bytes:
     return out if out[-1] == 0 else out + EMPTY_MEMBER
 
 
+class Short(ValueError):
+    """What is there so far is in order, but the data end within it."""
+
+
 def parse_plain(data: bytes, at: int) -> tuple[dict, int]:
     """The record that begins at a place, and its end. Raises ValueError with the reason when a check fails."""
     if not _VERSION_LINE.match(data, at):
         raise ValueError("no version line")
     end = data.find(b"\r\n\r\n", at)
-    if end < 0 or end - at > 1 << 20:
-        raise ValueError("header does not end")
     head = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
+    for line in data[at : len(data) if end < 0 else end].split(b"\r\n")[1 : -1 if end < 0 else None]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("malformed header line")
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+    if end < 0:
+        raise Short("header does not end")
     if not head.get("content-length", "").isdecimal() or "warc-type" not in head:
         raise ValueError("no length or type")
     block_end = end + 4 + int(head["content-length"])
+    if block_end + 4 > len(data):
+        raise Short("block is not as long as stated")
     if data[block_end : block_end + 4] != b"\r\n\r\n":
         raise ValueError("block is not as long as stated")
     block = data[end + 4 : block_end]
@@ -104,10 +110,13 @@ def parse_at(data: bytes, at: int) -> tuple[list[dict], int]:
     except zlib.error as e:
         raise ValueError(f"member: {e}") from None
     if not z.eof:
-        raise ValueError("member is cut off")
+        raise Short("member is cut off")
     end, recs, p = len(data) - len(z.unused_data), [], 0
     while p < len(plain):
-        rec, p = parse_plain(plain, p)
+        try:
+            rec, p = parse_plain(plain, p)
+        except Short as e:  # the member is whole, its record isn't
+            raise ValueError(str(e)) from None
         recs.append(rec)
     return recs, end
 
@@ -140,34 +149,24 @@ def salvage(data: bytes, window: int = 1 << 20):
 
 
 def _parse_windowed(data: bytes, at: int, window: int) -> tuple[list[dict], int]:
-    """Parses from a copy of a window that grows while the record does not end in it: the rest of the file isn't copied for each."""
+    """Parses from a copy of a window that grows only while a record, in order so far, ends beyond it: the rest of the file isn't copied for each."""
     size = window
     while True:
-        part = data[at : at + size]
         try:
-            recs, end = parse_at(part, 0)
+            recs, end = parse_at(data[at : at + size], 0)
             return recs, at + end
-        except ValueError:
-            if at + size >= len(data) or (part[:3] != GZIP and not _VERSION_LINE.match(part)):
-                raise
-            if part[:3] == GZIP and not _cut_off(part):
+        except Short:
+            if at + size >= len(data):
                 raise
             size *= 8
 
 
-def _cut_off(part: bytes) -> bool:
-    z = zlib.decompressobj(31)
-    try:
-        while part and not z.eof:
-            z.decompress(part, 1 << 20)
-            part = z.unconsumed_tail
-    except zlib.error:
-        return False
-    return not z.eof
+def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, key: str = "page_id", url: str = "url", body: str = "html", per_file: int = 20000, file_bytes: int = 64 << 20) -> None:
+    """A record a row, in archives under path; equal payloads (same SHA-256 and length) become revisits of the smallest key.
 
-
-def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, key: str = "page_id", url: str = "url", body: str = "html", per_file: int = 20000) -> None:
-    """A record a row, in archives under path; equal payloads (same SHA-256 and length) become revisits of the smallest key."""
+    A file gets `per_file` records at most, and less where that many payloads of mean size would be more than `file_bytes`."""
+    n, nbytes = total_bytes(pages, body)
+    per_file = max(1, min(per_file, file_bytes * n // max(nbytes, 1)))
     rows = pages.select(F.col(key).alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), text_of(body).cast("binary").alias("body"))
     rows = rows.withColumn("sha", F.sha2("body", 256)).withColumn("size", F.octet_length("body"))
     first = rows.groupBy("sha", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("size") >= least_bytes)).select("sha", "first")
@@ -207,11 +206,14 @@ def read_archive(pages_session, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """Writes the archives, reads them back: key, payload_bytes, payload_digest, record_type, refers_to of each record."""
+    """Writes the archives, reads them back: key, payload_bytes, payload_digest, record_type, refers_to of each record.
+
+    A gap in archives that were just written is an error, which fails the query; read_archive returns gaps as rows."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archive(pages, path, least_bytes, key, url, body)
     kind = pages.select(key).schema[0].dataType
     ids = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1), F.lit("")).cast(kind)
-    recs = read_archive(spark, path).where("kind = 'record'")
+    gap = F.raise_error(F.concat(F.lit("quarantined bytes in "), "file", F.lit(" at "), "offset", F.lit(": "), F.coalesce("reason", F.lit(""))))
+    recs = read_archive(spark, path).where(F.when(F.col("kind") == "record", True).otherwise(gap.cast("boolean")))
     return recs.select(ids(F.col("record_id")).alias(key), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), ids(F.col("refers_to"))).alias("refers_to"))

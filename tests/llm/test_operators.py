@@ -71,6 +71,32 @@ def test_pieces_equal_the_library(docs, none):
     assert pieces.encode_decode(none, PIECES).count() == 0
 
 
+def odd_text(r: random.Random) -> str:
+    parts = [" ", "  ", "\n", "\t ", "▁", "9de", "the", "Ing", "é", "日本", "'s", "<s>", "<|endoftext|>", "!!", "0x1f", "\u200b", "ﬁ", "\U0001f600", "a", "ß"]
+    return "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+
+
+def test_pieces_of_odd_texts_equal_the_library():
+    v, r = pieces.vocabulary(PIECES), random.Random(8)
+    some = [" ", " 9de", "  9de", " a", " the", "▁", "▁ x", *(odd_text(r) for _ in range(4000)), *(" " + odd_text(r) for _ in range(1000))]
+    for at in range(0, len(some), 700):
+        got, _ = pieces.encode_texts(v, pa.array(some[at : at + 700], pa.large_string()))
+        for text, segs in zip(some[at : at + 700], got, strict=True):
+            ids = [i for s in segs for i in s]
+            assert ids == v.lib.encode(text), repr(text)
+            assert v.decode([*ids, v.end]) == v.lib.decode([*ids, v.end]), repr(text)
+
+
+def test_word_ids_of_odd_texts_equal_the_library():
+    v, r = wordbpe.vocabulary(WORD_BPE), random.Random(9)
+    some = [odd_text(r) for _ in range(5000)]
+    idx, offs, words = common.words_of(pa.array(some, pa.large_string()))
+    flat, cuts = v.word_ids(words)
+    for k, text in enumerate(some):
+        ids = [x for i in idx[offs[k] : offs[k + 1]] for x in flat[cuts[i] : cuts[i + 1]].tolist()]
+        assert ids == v.lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_decoding_of_invalid_bytes():
     v = pieces.vocabulary(PIECES)
     for ids in ([300, int(v.byte_ids[0xC3]), 300], [int(v.byte_ids[0xFF])], [], [259, 260]):
@@ -111,6 +137,25 @@ def test_resynchronised_counts_equal_whole_texts(file):
     assert widened > 0
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_resynchronised_counts_of_unspaced_texts(file):
+    """Exact, and without encoding much twice."""
+    enc, r = token_counts.Encoder(tokenizer(file)), random.Random(4)
+    letters = [chr(x) for x in range(0x4E00, 0x4E80)]
+    made = ["".join(r.choice(letters) for _ in range(20000)), "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20000)), "".join(r.choice("ABCdef0123+/") for _ in range(20000)), prose(5, 3000).replace(" ", ""), "".join(r.choice(["日本", "語", "です", "。", "a", "é"]) for _ in range(12000))]
+    for text in made:
+        seen = 0
+
+        def spans(t):
+            nonlocal seen
+            seen += len(t)
+            return enc.spans(t)
+
+        n, _ = token_counts.resync_count(spans, text, chunk=3000, overlap=128)
+        assert n == len(enc.spans(text)[0])
+        assert seen <= 1.5 * len(text)
+
+
 # ---- packing
 
 
@@ -241,6 +286,30 @@ def test_signatures_meet_for_all_similar_pairs():
             assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist())
 
 
+def test_second_join_finds_all_pairs_between_components(spark):
+    """Candidates of foreign sets hold each similar pair of two components."""
+    r = random.Random(12)
+    for num, size in ((85, 120), (80, 9), (50, 30)):
+        base = [r.randrange(-(2**63), 2**63) for _ in range(size)]
+        rows = []
+        for i in range(120):
+            s = set(base)
+            for _ in range(r.randint(0, max(1, size // 8))):
+                s.discard(r.choice(base))
+                s.add(r.choice([r.randrange(2**40), 7, 8, 9, 10, 11]))
+            rows.append((i, i, r.randrange(6), len(s), sorted(s)))
+        open_ = common.written(spark.createDataFrame(rows, "v long, id long, comp long, n long, set array<long>"), "open")
+        left = jaccard.foreign(open_, num, 100)
+        got = {(x.a, x.b) for x in jaccard.across(common.written(jaccard.foreign_signatures(left, num, 100), "finer"), num, 100).collect()}
+        want = set()
+        for i, _, c, _, a in rows:
+            for j, _, d, _, b in rows[:i]:
+                inter = len(set(a) & set(b))
+                if c != d and inter * 100 >= num * (len(a) + len(b) - inter):
+                    want.add((i, j))
+        assert want and want <= got
+
+
 def test_connected_components(spark):
     edges = [(5, 4), (4, 3), (9, 8), (3, 2), (10, 9), (7, 7), (8, 10), (2, 20)]
     got = {r.id: r.comp for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -411,6 +480,31 @@ def test_archive_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_with_long_headers_and_fresh_gaps(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://x/" + "y" * (3 << 20), "body"), (2, "u", "body"), (3, "v", "other")], "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(pages, 0).collect()}
+    assert got == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None)}
+    warc.write_archive(pages, str(tmp_path / "w"), file_bytes=1)
+    files = [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part")]
+    assert len(files) == 3
+    files[0].write_bytes(b"damage" + files[0].read_bytes()[9:])
+    (tmp_path / "w" / f".{files[0].name}.crc").unlink()
+    assert spark.createDataFrame(warc.read_archive(spark, str(tmp_path / "w")).toPandas()[["kind"]]).where("kind = 'gap'").count() == 1
+    monkeypatch.setattr(warc, "read_archive", lambda s, path, read=warc.read_archive: read(s, str(tmp_path / "w")))
+    with pytest.raises(Exception, match="quarantined bytes"):
+        warc.round_trip(pages, 0).collect()
+
+
+def test_window_grows_for_unfinished_records_only(monkeypatch):
+    big = warc.record("response", "urn:page:1", "u", b"x" * 5000)
+    wrong = warc.record("response", "urn:page:2", "u", b"y" * 60).replace(b"yyy", b"yzy", 1)
+    sizes = []
+    parse = warc.parse_at
+    monkeypatch.setattr(warc, "parse_at", lambda data, at: (sizes.append(len(data)), parse(data, at))[1])
+    kinds = [k for k, *_ in warc.salvage(wrong * 20 + big, window=1024)]
+    assert kinds == ["gap", "record"] and sum(x > 1024 for x in sizes) <= 2  # the last record, found and read
+
+
 def test_salvage_recovers_later_records():
     recs = [warc.record("response", f"urn:page:{i}", "u", prose(i, 60).encode()) for i in range(6)]
     plain, zipped = b"".join(recs), [warc.member(r) for r in recs]
@@ -460,6 +554,13 @@ def test_search_among_many_copies(spark, monkeypatch):
     assert np.mean([len(set(by[q]) & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
 
 
+def test_search_with_repeated_keys(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 2.0]), (3, [0.5, 0.5]), (0, [float("nan"), -9.0]), (4, None), (None, [5.0, 5.0]), (20, [2.0, 2.0])]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, 3).orderBy("query_id", "rank").collect()]
+    # of the two rows with key 0 that with [0, 1] asks; both are candidates of 20
+    assert got == [(0, 1, 2, 2.0), (0, 2, 20, 2.0), (0, 3, 1, 1.0), (20, 1, 1, 8.0), (20, 2, 2, 6.0), (20, 3, 0, 2.0)]
+
+
 def test_search_of_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.5, 1.0])], "vec_id long, embedding array<double>")
     got = {(r.query_id, r["rank"]): r.vec_id for r in ann.search(few, lambda i: i % 20 == 0, 20).collect()}
@@ -514,6 +615,27 @@ def test_rules(spark, text, labels):
     assert licenses.summary(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
 
 
+def test_suppression_by_force(spark):
+    """Each rule at each word of texts made of the rules' own words; contained detections go by priority, length and order."""
+    r, made = random.Random(6), licenses.rules()
+    words = "licensed under the terms of mit license apache version 2 0 cc by nc sa gnu general public gpl lesser or later spdx identifier only bsd 3 clause creative commons attribution non commercial share alike international public domain see file x".split()
+    some = [" ".join(r.choice(words) for _ in range(r.randint(0, 60))) for _ in range(60)]
+    some += ["licensed under the terms of the gnu affero general public license version 3 version 3 0 or later", "creative commons attribution non commercial no derivatives 4 0 international public license", "licensed under the cc by nc sa 4 0 international license"]
+    got = collected(licenses.scan(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), table=made))
+    for k, text in enumerate(some):
+        w, hits = text.split(), []
+        for at in range(len(w)):
+            rest = " " + " ".join(w[at:]) + " "
+            for n, (head, _, regex, label, prio, weight, base) in enumerate(made):
+                if head == w[at] and (m := re.search(regex, rest)):
+                    hits.append((at, at + len(m[0].split()) - 1, prio, n, label, weight, base))
+        if not re.search(licenses.GATE, text):
+            hits = []
+        wins = lambda g, h: (g[2], g[1] - g[0], -g[3]) > (h[2], h[1] - h[0], -h[3])
+        want = [h for h in hits if h[6] or not any(g[0] <= h[0] and g[1] >= h[1] and wins(g, h) for g in hits)]
+        assert [(d.start, d.stop, d.prio, d.id, d.label, d.weight, d.base) for d in got[k].detections] == sorted(want), text
+
+
 def test_every_rule_passes_the_gate():
     made = licenses.rules()
     assert len(made) > 300 and len({r[2] for r in made}) == len(made)
