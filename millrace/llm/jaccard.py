@@ -15,8 +15,9 @@ that no other component has count for nothing, so documents shrink to their fore
 link; without them others have less foreign hashes, so this is done again while it takes out many. What is left of a linked pair
 differs in much less than k hashes: in s1 + s2 - 2 need at most, for the numbers s of foreign hashes and the least common number
 `need`. Pairs are signed by the same two-level partitions, once for each power of LEVEL of that bound, and each pair counts in the
-level of its own bound only. So candidates must be in different components, share foreign content and be able to reach the
-threshold. No link between different components is lost, and no signature has a limit on its members.
+level of its own bound only. Each signature carries the parities of its document's hashes in PARITIES buckets: two documents differ in
+as many hashes, at least, as they have different parities. So candidates must be in different components, share foreign content, be
+able to reach the threshold and have few different parities. No link between different components is lost, and no signature has a limit on its members.
 
 Defined results: null or empty texts, or texts without words, have an empty set, are linked with nothing and are components of
 their own; shorter texts than n words have one shingle, the whole sequence; equal sets are linked; rows with the same key are one
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import components, drop, give_back, mix, parts_for, slices, strings, text_of, total_bytes, words_of, written
 
 LONGEST = 1 << 40
-CELLS, LEVEL = 3, 1.5
+CELLS, LEVEL, PARITIES = 3, 1.5, 256
 SIGNED_BYTES, SET_BYTES = 8 << 20, 4 << 20
 NO_KEY = 2**63 - 1
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
@@ -250,6 +251,9 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, set array<bigint>")
 
 
+PARITY = [f"p{k}" for k in range(PARITIES // 64)]
+
+
 def levels(most: int) -> list[int]:
     """Bounds on differences, each about LEVEL times the one before, up to `most` at least."""
     out = [0]
@@ -273,7 +277,9 @@ def foreign(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def foreign_signatures(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(level, sig, id, comp, n, s, above, upto) of foreign sets: a pair signs for each bound on its differences that it can have, and counts where above < bound <= upto."""
+    """(level, sig, id, comp, n, s, above, upto, p0, p1 ...) of foreign sets: a pair signs for each bound on its differences that it can have, and counts where above < bound <= upto."""
+
+    names = ["level", "sig", "id", "comp", "n", "s", "above", "upto", *PARITY]
 
     def run(batches):
         for whole in batches:
@@ -291,6 +297,8 @@ def foreign_signatures(rows: DataFrame, num: int, den: int) -> DataFrame:
                 other = n * den // num
                 most = np.maximum(sizes + other - 2 * (-(-num * (n + other) // (num + den))) + 1, 0)
                 bounds = levels(int(most.max(initial=0)))
+                odd = np.bincount(doc * PARITIES + (flat % np.uint64(PARITIES)).astype(np.int64), minlength=len(n) * PARITIES) % 2
+                parity = np.packbits(odd.astype(np.uint8)).reshape(len(n), -1).view(np.int64)
                 for level, (above, upto) in enumerate(zip([-1, *bounds[:-1]], bounds, strict=True)):
                     signs = most > above
                     pick = signs[doc]
@@ -298,20 +306,21 @@ def foreign_signatures(rows: DataFrame, num: int, den: int) -> DataFrame:
                     sig, own = partition_signatures(flat[pick], doc[pick], ranges_for(k), k, np.full(len(n), mix(np.uint64([(level + 1) * 0x51ED27])), np.uint64), len(n))
                     take = pa.array(own)
                     cols = [pa.array(np.full(len(own), level, np.int32)), pa.array(sig.view(np.int64)), *(batch.column(c).take(take) for c in ("id", "comp", "n")), pa.array(sizes[own])]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(own), above, np.int64)), pa.array(np.full(len(own), upto, np.int64))], ["level", "sig", "id", "comp", "n", "s", "above", "upto"])
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(own), above, np.int64)), pa.array(np.full(len(own), upto, np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in parity[own].T)], names)
         give_back()
 
-    return rows.select("id", "comp", "n", "set").mapInArrow(run, "level int, sig long, id long, comp long, n long, s long, above long, upto long")
+    return rows.select("id", "comp", "n", "set").mapInArrow(run, "level int, sig long, id long, comp long, n long, s long, above long, upto long" + "".join(f", {p} long" for p in PARITY))
 
 
 def across(signed: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b), a > b, of different components that share a signature of the level of their bound and can reach the threshold."""
     open_ = signed.groupBy("level", "sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("level", "sig")
     rows = written(signed.join(open_.hint("shuffle_hash"), ["level", "sig"], "left_semi"), "across")
-    other = rows.select("level", "sig", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    need = F.ceil(num * (F.col("n") + F.col("nb")) / (num + den))
+    other = rows.select("level", "sig", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"), *(F.col(p).alias(f"{p}b") for p in PARITY))
+    need = F.expr(f"({num} * (n + nb) + {num + den - 1}) div {num + den}")
     bound = F.col("s") + F.col("sb") - 2 * need
     may = (F.col("id") > F.col("b")) & (F.col("comp") != F.col("cb")) & (need <= F.least("s", "sb")) & (bound > F.col("above")) & (bound <= F.col("upto"))
+    may &= sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}b"))) for p in PARITY), F.lit(0)) <= bound
     pairs = written(rows.join(other, ["level", "sig"]).where(may).select(F.col("id").alias("a"), "b").distinct(), "candidates")
     drop(rows)
     return pairs
@@ -326,8 +335,9 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     flow = _signed(base, n, Scheme(num, den), parts).groupBy("part").applyInArrow(_gather, FLOW).drop("blob")
     flow = written(flow, "partenum")
     documents = written(flow.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("id"), "n", "d1", "d2"), "documents")
-    classes = documents.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    rep = written(documents.join(classes, ["d1", "d2", "n"]).select("id", "n", "rep"), "classes")
+    classes = written(documents.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "sets")
+    rep = written(documents.where("n > 0").join(classes.hint("shuffle_hash"), ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "classes")
+    drop(classes)
     same = rep.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     ra, rb = rep.select(F.col("id").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na")), rep.select(F.col("id").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
     members = flow.where(F.col("kind") == MEMBER).select("part", "sig", "a", "b")
