@@ -5,12 +5,13 @@ a corpus would move each byte many times, so suffixes are thinned first, without
 
 * Anchors. In each width-byte window the GRAM-byte substring with the smallest hash is an anchor; equal windows have equal anchors.
   Hashes come from prefix polynomial hashes modulo 2^64, so a substring costs one subtraction and one product.
-* First exchange: anchors by hash, with a hash of their context (all windows around the anchor). Equal contexts of a slice go as one. An
-  anchor is settled when its whole context is known from a smaller key, or when no other document has it.
-* Second exchange: the contexts of the others, by anchor. Contexts that share no longer string with the anchor are settled; groups of up to
-  sixteen are compared by their common extensions to both sides; of larger groups the suffixes, one for each window, are put into buckets by their first
-  sixteen bytes and merge-sorted within buckets; two suffixes are compared by binary search for their common extension
-  on prefix hashes. Neighbours with `width` bytes in common are compared byte by byte, and equal runs yield the smallest key.
+* First exchange: anchors by hash, with a hash of their context (all windows around the anchor). Equal contexts of a slice go as one,
+  after their bytes were compared. An anchor is settled when its whole context is known from a smaller key of another slice (there the
+  64 bits of the contexts' hashes and 48 bits of the anchors' decide), or when no other document has it.
+* Second exchange: the contexts of the others, by anchor. Contexts that share no longer string with the anchor are settled; of all
+  others the suffixes, one for each window, are put into buckets by their first sixteen bytes and merge-sorted within buckets; two
+  suffixes are compared by binary search for their common extension on prefix hashes. Neighbours with `width` bytes in common are
+  compared byte by byte, and equal runs yield the smallest key.
 * Anchors with very many contexts send their windows by window hash instead, equal ones of a slice as one, so that no task gets them all.
 
 Documents move through one shuffle by block; each pass finds the same anchors again, and replies come back as arrays in the same order.
@@ -34,7 +35,7 @@ from millrace.llm.common import give_back, mix, parts_for, slices, strings, text
 
 WIDTH, GRAM = 50, 24
 BLOCK_BYTES, SUB_BYTES, CHUNK = 8 << 20, 4 << 20, 1 << 18
-LOCAL_HOT, HOT, FEW = 64, 4096, 16
+LOCAL_HOT, HOT = 64, 4096
 NOTHING, KNOWN, CONTEXT, WINDOWS = 0, 1, 2, 3
 P = np.uint64(0x9E3779B97F4A7C15)
 P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -132,11 +133,16 @@ class Slice:
         self.doc = np.searchsorted(self.ends, self.place, side="right") - 1
         short = self.key >> np.uint64(16)
         part = ((self.key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((ctx, self.key))  # parts are ranges of hashes; documents stay in order
+        while True:
+            order = np.lexsort((ctx, self.key))  # parts are ranges of hashes; documents stay in order
+            k, c, p = short[order], ctx[order], part[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (p[1:] != p[:-1])
+            others = self._unlike(order, new)
+            if not len(others):
+                break
+            ctx[others] = mix(ctx[others] + np.uint64(1))  # equal hashes of different contexts
         self.order = order
-        k, c, p = short[order], ctx[order], part[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (p[1:] != p[:-1])
         self.entry_at = np.nonzero(new)[0]  # first anchor, which has the smallest document, of each entry
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(new) - 1
@@ -152,6 +158,19 @@ class Slice:
         lead = np.concatenate([[True], group[1:] != group[:-1]]) if n else np.zeros(0, bool)
         self.sent = ~self.hot | lead
 
+    def _unlike(self, order: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Anchors whose context has other bytes than that of the first of their entry."""
+        lead = order[np.nonzero(new)[0]][np.cumsum(new) - 1] if len(order) else order
+        rest = np.nonzero(~new)[0]
+        out = []
+        for a in range(0, len(rest), 1 << 16):
+            x, y = order[rest[a : a + (1 << 16)]], lead[rest[a : a + (1 << 16)]]
+            (bytes_, l1, r1), (other, l2, r2) = self._around(x), self._around(y)
+            place = np.arange(bytes_.shape[1])[None] - (self.width - GRAM)
+            inside = (place >= -l1[:, None]) & (place < r1[:, None])
+            out.append(x[(l1 != l2) | (r1 != r2) | ((bytes_ != other) & inside).any(1)])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
     def part_runs(self, part: np.ndarray) -> list[tuple[int, int]]:
         at = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0] if len(part) else np.zeros(0, np.int64)
         return list(zip(at.tolist(), np.append(at[1:], len(part)).tolist(), strict=True))
@@ -163,8 +182,7 @@ class Slice:
             e = s[a:b]
             docs, local = np.unique(self.doc[self.first[e]], return_inverse=True)
             steps = np.diff(self.ids[docs], prepend=0)
-            tail = np.ascontiguousarray((self.ctx[e] & np.uint64(2**48 - 1)).view(np.uint8).reshape(-1, 8)[:, :6])
-            yield int(self.part[e[0]]), np.int64([len(docs), len(e)]).tobytes() + steps.tobytes() + ((self.short[e] << 16) | local).tobytes() + tail.tobytes() + self.hot[e].tobytes()
+            yield int(self.part[e[0]]), np.int64([len(docs), len(e)]).tobytes() + steps.tobytes() + ((self.short[e] << 16) | local).tobytes() + self.ctx[e].tobytes() + self.hot[e].tobytes()
 
     def states(self, replies: dict[int, bytes]) -> np.ndarray:
         state = np.full(len(self.first), WINDOWS, np.uint8)
@@ -176,7 +194,10 @@ class Slice:
 
     def context(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes (n, 2 width - GRAM), and how many of them are there before and from the anchor."""
-        place, doc = self.place[self.first[e]], self.doc[self.first[e]]
+        return self._around(self.first[e])
+
+    def _around(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        place, doc = self.place[anchor], self.doc[anchor]
         left = np.minimum(self.width - GRAM, place - self.ends[doc])
         right = np.minimum(self.width, self.ends[doc + 1] - place)
         at = place[:, None] - (self.width - GRAM) + np.arange(2 * self.width - GRAM)[None]
@@ -260,12 +281,10 @@ def settle(table: pa.Table) -> pa.Table:
         d, n = np.frombuffer(blob, np.int64, 2)
         docs = np.cumsum(np.frombuffer(blob, np.int64, d, 16))
         packed = np.frombuffer(blob, np.int64, n, 16 + 8 * d)
-        tail = np.zeros((n, 8), np.uint8)
-        tail[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 16 + 8 * d + 8 * n).reshape(-1, 6)
         keys.append((packed >> 16) & ((1 << 48) - 1))
         ids.append(docs[packed & 0xFFFF])
-        ctxs.append(tail.view(np.int64)[:, 0])
-        hots.append(np.frombuffer(blob, bool, n, 16 + 8 * d + 14 * n))
+        ctxs.append(np.frombuffer(blob, np.int64, n, 16 + 8 * d + 8 * n))
+        hots.append(np.frombuffer(blob, bool, n, 16 + 8 * d + 16 * n))
         cuts.append(cuts[-1] + int(n))
     key, ctx, doc, hot = (np.concatenate(x) for x in (keys, ctxs, ids, hots))
     order = np.lexsort((doc, ctx, key))
@@ -370,62 +389,26 @@ def compare(table: pa.Table, width: int) -> pa.Table:
         # a window reaches beyond the anchor by half of the rest on one side at least: who shares neither longer string shares no window
         for back in (half, 0):
             own = np.nonzero((l_ >= back) & (r_ >= GRAM + half - back))[0]
-            many |= _few(h, text.reshape(-1, full), doc, l_, r_, width, own, h.at(mid[own] - back, GRAM + half), out)
-        _many(text, doc, l_, r_, width, np.nonzero(many)[0], out)
+            many |= _shared(doc, own, h.at(mid[own] - back, GRAM + half))
+        _compared(text, doc, l_, r_, width, np.nonzero(many)[0], out)
     return _reply(table, [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
-def _few(h: PrefixHash, rows: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, width: int, own: np.ndarray, gram: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """Groups of FEW contexts or less (those in `own` with equal `gram`): the common extension of each two to both sides of the anchor.
-
-    Equal windows hold the anchor at the same place in both contexts (or hold it twice, and then both places are anchors), so the two
-    extensions tell all windows that both have. Returns which contexts belong to larger groups."""
-    span, full = width - GRAM, rows.shape[1]
-    mid = np.arange(len(doc)) * full + span
-    many = np.zeros(len(doc), bool)
-    if not len(own):
-        return many
-    order = np.lexsort((doc[own], gram))
-    new = np.concatenate([[True], gram[order][1:] != gram[order][:-1]])
-    group = np.cumsum(new) - 1
-    order = own[order]
-    size = np.bincount(group)
-    # groups of one key have nothing to remove
-    first = np.nonzero(new)[0]
-    varied = doc[order[np.append(first[1:], len(order)) - 1]] != doc[order[first]]
-    many[order] = (size > FEW)[group] & varied[group]
-    small = np.nonzero(((size > 1) & (size <= FEW) & varied)[group])[0]
-    for gap in range(1, FEW):
-        at = small[small + gap < len(order)]
-        at = at[group[at] == group[at + gap]]
-        x, y = order[at], order[at + gap]
-        x, y = x[doc[x] < doc[y]], y[doc[x] < doc[y]]
-        if not len(x):
-            continue
-        ext = []
-        for most, side in ((np.minimum(left[x], left[y]), -1), (np.minimum(right[x], right[y]), 1)):
-            lo, hi = np.zeros(len(x), np.int64), most.copy()
-            while (lo < hi).any():
-                m = (lo + hi + 1) // 2
-                back = m if side < 0 else 0
-                same = h.at(mid[x] - back, m) == h.at(mid[y] - back, m)
-                lo, hi = np.where(same, m, lo), np.where(same, hi, m - 1)
-            ext.append(lo)
-        before, after = ext
-        hit = np.nonzero(before + after >= width)[0]
-        place = np.arange(full)[None]
-        for a in range(0, len(hit), 1 << 16):  # hashes agree: so must the bytes
-            k = hit[a : a + (1 << 16)]
-            inside = (place >= span - before[k][:, None]) & (place < span + after[k][:, None])
-            k = k[((rows[x[k]] == rows[y[k]]) | ~inside).all(1)]
-            first, last = (span - before[k]).astype(np.uint64), np.minimum(span, after[k] - GRAM).astype(np.uint64)
-            one = np.uint64(1)
-            np.bitwise_or.at(out, y[k], ((one << (last + one)) - (one << first)).astype(np.uint32))
-    return many
-
-
-def _many(text: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, width: int, among: np.ndarray, out: np.ndarray) -> None:
-    """Anchors with more contexts: all their windows' suffixes are sorted; runs with width bytes in common yield the smallest key."""
+def _shared(doc: np.ndarray, own: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Which contexts (those in `own`) have the same `gram` as one of another key."""
+    out = np.zeros(len(doc), bool)
+    if len(own):
+        order = np.lexsort((doc[own], gram))
+        new = np.concatenate([[True], gram[order][1:] != gram[order][:-1]])
+        group, first = np.cumsum(new) - 1, np.nonzero(new)[0]
+        order = own[order]
+        # groups of one key have nothing to remove
+        out[order] = (doc[order[np.append(first[1:], len(order)) - 1]] != doc[order[first]])[group]
+    return out
+
+
+def _compared(text: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, width: int, among: np.ndarray, out: np.ndarray) -> None:
+    """The suffixes of all windows of the contexts in `among` are sorted; runs with width bytes in common yield the smallest key."""
     full, bit = 2 * width - GRAM, np.arange(width - GRAM + 1)[None]
     ok = (bit >= width - GRAM - left[among][:, None]) & (bit + width <= width - GRAM + right[among][:, None])
     entry, bits = np.nonzero(ok)
