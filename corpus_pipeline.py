@@ -3,16 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. The caller
 writes each result as Parquet and gives it to the next stage; run() does so in the shared folder.
 
-Rows with the same doc_id go or stay together; rows with a null doc_id pass each filtering stage.
+Rows with the same doc_id go or stay together, but in exact dedup, where each row counts, those with a null doc_id too; rows with a
+null doc_id pass the classifier and the near-duplicate stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, jaccard, packing, quality, suffix_dedup
-from millrace.llm.common import written
+from millrace.llm.common import drop, text_of, written
 from millrace.llm.queries import tokenizer, toxic, trusted
 
 
@@ -29,7 +30,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest original stays, then the one with the smallest doc_id."""
-    return _kept(docs, exact_dedup.duplicate_groups(docs), F.col("kept"))
+    decided = written(exact_dedup.duplicate_groups(docs), "decided")
+    repeated = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or doc_id is null").select(F.col("doc_id").alias("again__")), "repeated")
+    if repeated.isEmpty():
+        return _kept(docs, decided, F.col("kept"))
+    again = F.col("doc_id").eqNullSafe(F.col("again__"))
+    once = _kept(docs.join(repeated, again, "left_anti"), decided, F.col("kept"))
+    # of the rows that share key and text one at most was kept: the longest original
+    order = Window.partitionBy("doc_id", "sha__").orderBy(F.desc(F.char_length(text_of())))
+    rows = docs.join(repeated, again, "left_semi").withColumn("sha__", F.sha2(exact_dedup.without_space(text_of()).cast("binary"), 256)).withColumn("row__", F.row_number().over(order)).where("row__ = 1")
+    kept = decided.where("kept").select(F.col("doc_id").alias("again__"), "text_sha256")
+    return once.unionByName(rows.join(kept, again & (F.col("sha__") == F.col("text_sha256")), "left_semi").select(*docs.columns))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,15 +69,15 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: SQL can express neither the classifier nor the near-duplicate and suffix stages; tests hold each stage against brute force.
+#: SQL can express neither the classifier nor the near-duplicate and suffix stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; each result but the last is written in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
