@@ -37,7 +37,7 @@ from millrace.llm.common import components, drop, give_back, mix, parts_for, sli
 
 LONGEST = 1 << 40
 CELLS, LEVEL, PARITIES = 3, 1.5, 256
-SIGNED_BYTES, SET_BYTES = 8 << 20, 4 << 20
+SIGNED_BYTES, SET_BYTES = 4 << 20, 4 << 20
 NO_KEY = 2**63 - 1
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
 
