@@ -371,7 +371,7 @@ def cast(t: Term, name: str, args: list[int]) -> Term:
         raise bad
     if to == "bytes":
         if k == "str":
-            return Term(F.unhex(c), "bytes", risky=True)
+            return Term(_fail_if(c.isNotNull() & ~F.regexp_like(c, F.lit("^([0-9A-Fa-f]{2})*$")), "not a sequence of hex bytes", F.unhex(c)), "bytes", risky=True)
         if k == "bytes":
             return t
         raise bad
@@ -412,8 +412,8 @@ STR, INT, NUM, TEMP = ("str", "guid"), ("int",), ("int", "float", "dec"), ("date
 
 
 def _bytes_between(s: Column, start: Column, n: Column) -> Column:
-    """Substring in bytes of UTF-8, as text."""
-    return F.decode(F.substring(s.cast("binary"), start.cast("int"), n.cast("int")), "UTF-8")
+    """Substring in bytes of UTF-8, as text; a cut inside a character leaves its bytes as they are."""
+    return F.substring(s.cast("binary"), start.cast("int"), n.cast("int")).cast("string")
 
 
 def _substring(s: Term, st: Term, n: Term) -> Term:
@@ -438,7 +438,8 @@ def _trim(pattern: str):
 
 
 def _find(s: Term, f: Term, k: Term) -> Term:
-    pieces = F.split(s.col, F.concat(F.lit(r"\Q"), f.col, F.lit(r"\E")))
+    literal = F.replace(f.col, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    pieces = F.split(s.col, F.concat(F.lit(r"\Q"), literal, F.lit(r"\E")))
     before = F.aggregate(F.slice(pieces, 1, F.greatest(k.col, F.lit(1)).cast("int")), F.lit(0).cast("bigint"), lambda acc, p: acc + F.octet_length(p))
     pos = F.when((f.col == "") | (F.size(pieces) <= k.col), F.lit(0).cast("bigint")).otherwise(before + (k.col - 1) * F.octet_length(f.col) + 1)
     return Term(_fail_if(k.col < 1, "FINDSTRING needs a positive occurrence", F.when(s.col.isNull() | f.col.isNull() | k.col.isNull(), F.lit(None)).otherwise(pos)), "int", risky=True)

@@ -149,11 +149,14 @@ def lookup(df: DataFrame, ref: DataFrame, match: dict[str, str], select: dict[st
     one = ref.select(*(q(b).alias(k) for k, b in keys.items()), *(q(src).alias(v) for v, (_, src) in vals.items()))
     one = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *(F.first(v).alias(v) for v in vals))
     cond = reduce(lambda c, p: c & (q(p[0]) == F.col(p[1])), zip(match, keys, strict=True), F.lit(True))
-    got = df.join(one, cond, "inner" if on_miss == "drop" else "left")
+    got = df.join(one, cond, "left")  # left for drop too: in an inner join the check of the matches would run on reference keys that no row asks for
     checks = F.assert_true(F.coalesce(F.col("__n"), F.lit(1)) == 1, "lookup: more than one match").isNull()
     if on_miss == "error":
         checks &= F.assert_true(F.col("__n").isNotNull(), "lookup: no match").isNull()
-    return got.filter(checks).select(*(q(c) for c in df.columns), *(F.col(v).alias(out) for v, (out, _) in vals.items()))
+    got = got.filter(checks)
+    if on_miss == "drop":
+        got = got.filter(F.concat(q(next(iter(match))).cast("string"), F.col("__n").cast("string")).isNotNull())
+    return got.select(*(q(c) for c in df.columns), *(F.col(v).alias(out) for v, (out, _) in vals.items()))
 
 
 def _ordered(order_by: Sequence[str]) -> Column:
@@ -217,6 +220,14 @@ def union(inputs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, inputs)
 
 
+def one_a_key(df: DataFrame, key: list[str], first: bool, order_by: Sequence[str] = ()) -> DataFrame:
+    """Of rows with one key the last in the given order, or the first; rows with a null in the key all stay."""
+    seq = F.struct(*(q(c) for c in order_by or [c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]))
+    whole = reduce(lambda a, b: a & b, (q(k).isNotNull() for k in key))
+    pick = (F.min_by if first else F.max_by)(F.struct("*"), seq)
+    return df.filter(whole).groupBy(*(q(k).alias(f"__k{i}") for i, k in enumerate(key))).agg(pick.alias("r")).select("r.*").unionAll(df.filter(~whole))
+
+
 def upsert(target: DataFrame, incoming: DataFrame, key: list[str], on_conflict: str = "update", order_by: Sequence[str] = (), columns: list[str] | None = None) -> DataFrame:
     """The table after the incoming rows: modes update, update_if_changed, ignore and error; null keys always insert.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -232,3 +234,53 @@ QUERIES["script_moving_avg"] = _moving
 ORACLE_SQL["script_moving_avg"] = "SELECT o_custkey, o_orderkey, mean FROM (SELECT o_custkey, o_orderkey, avg(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS mean, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE r >= 3"
 flow("gen_int64", "SELECT CAST(range AS BIGINT) AS id FROM range(5, 1005)", lambda d: [{"id": "out", "type": "gen_int64", "row_count": 1000, "start": 5}])
 flow("gen_strings", "SELECT CAST(range AS BIGINT) AS id, 'row_' || range AS name FROM range(1000)", lambda d: [{"id": "out", "type": "gen_strings", "row_count": 1000}])
+
+
+# ---- files: each table is written by a sink and read back by a source
+def _folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share; a local one only where Spark runs in one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/millrace-files-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="millrace-files-")
+
+
+def _round_trip(name: str, table: str, sql: str, prepare: str, there: Callable[[str], dict], back: Callable[[str], dict], cast: list[str]) -> None:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        path = f"{_folder(spark)}/{table}"
+        steps = [read(d, table), {"id": "w", "type": "multicast", "from": table, "taps": ["rows"]}]
+        rows = steps_frame(spark, steps, "w:rows").selectExpr(*prepare.split("; "))
+        sink = there(path)
+        Runner(spark, from_text('{"pipeline": [{"id": "s", "type": "shell", "argv": []}]}', name="x.json"))._sink(sink["type"], {"id": "sink"} | sink, rows)
+        return steps_frame(spark, [{"id": "r"} | back(path)], "r").selectExpr(*cast)
+
+    query.__name__ = name
+    QUERIES[name], ORACLE_SQL[name] = query, sql
+
+
+_CSV = [{"name": "c_custkey", "type": "int64"}, {"name": "c_name"}, {"name": "c_acctbal", "type": "float64"}, {"name": "note"}]
+_round_trip("csv_round_trip", "customer", """SELECT c_custkey, c_name, c_acctbal, 'a "' || c_mktsegment || '", ' || chr(10) || 'é' AS note FROM customer""",
+            """c_custkey; c_name; c_acctbal; concat('a "', c_mktsegment, '", \n', 'é') AS note""", lambda p: {"type": "csv.write", "path": p}, lambda p: {"type": "csv.read", "path": p, "schema": {"columns": _CSV}}, ["c_custkey", "c_name", "c_acctbal", "note"])
+_round_trip("csv_code_page", "customer", "SELECT c_custkey, 'ü;' || c_name AS name FROM customer", "c_custkey; concat('ü;', c_name) AS name",
+            lambda p: {"type": "csv.write", "path": p, "delimiter": ";", "encoding": "1252"}, lambda p: {"type": "csv.read", "path": p, "delimiter": ";", "encoding": "1252", "schema": {"columns": [{"name": "c_custkey", "type": "int64"}, {"name": "name"}]}}, ["c_custkey", "name"])
+for _form in ("ndjson", "array"):
+    _round_trip(f"json_round_trip_{_form}", "supplier", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CASE WHEN s_suppkey % 3 > 0 THEN 'q\"' || s_name END AS note, CAST(s_suppkey AS DOUBLE) / 8 AS eighth FROM supplier",
+                """s_suppkey; s_name; if(s_suppkey % 3 > 0, concat('q"', s_name), null) AS note; s_suppkey / 8D AS eighth""", lambda p, f=_form: {"type": "json.write", "path": p, "format": f}, lambda p, f=_form: {"type": "json.read", "path": p, "format": f, "columns": ["s_suppkey", "s_name", "note", "eighth"]},
+                ["s_suppkey", "s_name", "note", "cast(eighth AS double) AS eighth"])
+_round_trip("xlsx_round_trip", "part", "SELECT p_partkey, p_name || ' <&>' AS p_name, p_size + 0.5 AS size FROM (SELECT p_partkey, p_name, CAST(p_size AS DOUBLE) AS p_size FROM part)", "p_partkey; concat(p_name, ' <&>') AS p_name; cast(p_size AS double) + 0.5D AS size",
+            lambda p: {"type": "xlsx.write", "path": f"{p}.xlsx"}, lambda p: {"type": "xlsx.read", "path": f"{p}.xlsx"}, ["cast(p_partkey AS bigint) AS p_partkey", "p_name", "cast(size AS double) AS size"])
+_round_trip("parquet_round_trip", "orders", "SELECT o_orderkey, o_orderdate, o_totalprice, o_orderstatus FROM orders", "o_orderkey; o_orderdate; o_totalprice; o_orderstatus",
+            lambda p: {"type": "parquet.write", "path": p, "partition_by": ["o_orderstatus"]}, lambda p: {"type": "parquet.read", "path": p}, ["o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus"])
+
+
+def _xml_rows(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{_folder(spark)}/nation"
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    body = n.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<row k="'), F.col("n_nationkey").cast("string"), F.lit('"><name>'), F.col("n_name"), F.lit("</name></row>")))), "").alias("b"))
+    body.select(F.concat(F.lit("<r>"), "b", F.lit("</r>"))).coalesce(1).write.text(path)
+    return steps_frame(spark, [{"id": "x", "type": "xml.read", "path": path, "row_xpath": "//row", "columns": {"k": "@k", "name": "name"}}], "x")
+
+
+QUERIES["xml_rows"], ORACLE_SQL["xml_rows"] = _xml_rows, "SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS name FROM nation"

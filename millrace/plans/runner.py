@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import glob
 import importlib
 import json
 import os
 import re
 import shutil
+import signal
 import smtplib
 import subprocess
 import time
@@ -17,13 +19,13 @@ from concurrent.futures import ThreadPoolExecutor
 from email.message import EmailMessage
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.engines import Scope, compile_expression
 from millrace.operators import relational as R
 from millrace.plans.document import SINKS, Document, bind, canonical, order, sources_of, substituted
-from millrace.sources import files
+from millrace.sources import files, jdbc
 
 
 class StageFailed(RuntimeError):
@@ -77,13 +79,14 @@ class Runner:
             self.spark.sparkContext.setJobGroup(group, stage["id"], interruptOnCancel=True)
             self._task(stage)
 
-        with ThreadPoolExecutor(1) as pool:
-            job = pool.submit(work)
-            try:
-                job.result(_seconds(stage["timeout"]))
-            except TimeoutError:
-                self.spark.sparkContext.cancelJobGroup(group)
-                raise StageFailed(f"took longer than {stage['timeout']}") from None
+        pool = ThreadPoolExecutor(1)
+        try:
+            pool.submit(work).result(_seconds(stage["timeout"]))
+        except (TimeoutError, subprocess.TimeoutExpired):
+            self.spark.sparkContext.cancelJobGroup(group)
+            raise StageFailed(f"took longer than {stage['timeout']}") from None
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
     def _condition(self, cond: Any) -> bool:
         if isinstance(cond, dict):
@@ -141,20 +144,19 @@ class Runner:
         got = self.spark.sql(sql, args=s.get("params") or None)
         if "expect" in s:
             expect = dict(s["expect"])
-            rows = got.collect() if expect.pop("row", None) == "all" else got.take(1)
-            if not rows:
+            every = expect.pop("row", None) == "all"
+            if not (rows := got.take(1)):
                 raise R.OperatorError("expect: the query returned no rows")
+            if every:  # a row that breaks one of them, if there is any
+                for col, want in expect.items():
+                    rows += got.filter(~F.coalesce(_expectation(F.col(f"`{col}`"), want), F.lit(False))).take(1)
             for row in rows:
                 for col, want in expect.items():
                     if not _expected(row[col], want):
                         raise R.OperatorError(f"expect: {col} is {row[col]!r}, wanted {want!r}")
 
     def _jdbc_statement(self, conn: dict, sql: str) -> None:
-        link = self.spark.sparkContext._jvm.java.sql.DriverManager.getConnection(files.jdbc_url(conn))
-        try:
-            link.createStatement().execute(sql)
-        finally:
-            link.close()
+        jdbc.execute(self.spark, files.jdbc_url(conn), [sql])
 
     def _var_set(self, s: dict) -> None:
         if "value" in s:
@@ -167,9 +169,15 @@ class Runner:
             self.scope.vars[s["name"]] = str(row[0])
 
     def _shell(self, s: dict) -> None:
-        done = subprocess.run([str(a) for a in s["argv"]], capture_output=True, text=True)
-        if done.returncode:
-            raise R.OperatorError(f"shell: exit code {done.returncode}: {done.stderr.strip()[-500:]}")
+        work = subprocess.Popen([str(a) for a in s["argv"]], stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, errors="replace", start_new_session=True)
+        try:
+            _, said = work.communicate(timeout=_seconds(s["timeout"]) if "timeout" in s else None)
+        except subprocess.TimeoutExpired:
+            os.killpg(work.pid, signal.SIGKILL)  # what it has started too
+            work.wait()
+            raise
+        if work.returncode:
+            raise R.OperatorError(f"shell: exit code {work.returncode}: {said.strip()[-500:]}")
 
     def _file_copy(self, s: dict) -> None:
         shutil.copyfile(s["src"], s["dst"])
@@ -189,7 +197,7 @@ class Runner:
             with open(s["body_file"], "rb") as f:
                 body = f.read()
         data = body.encode() if isinstance(body, str) else body
-        req = urllib.request.Request(s["url"], data=data, headers=headers, method=s.get("method", "GET" if canonical(s["type"]) == "http.get" or data is None else "POST"))
+        req = urllib.request.Request(s["url"], data=data, headers=headers, method=s.get("method") or {"http.get": "GET", "http.post": "POST"}.get(canonical(s["type"]), "GET" if data is None else "POST"))
         with urllib.request.urlopen(req, timeout=min(_seconds(s.get("timeout", "60s")), 3600)) as r:
             got = r.read()
         if "save_to" in s:
@@ -334,23 +342,17 @@ class Runner:
         return {"out": out.filter(F.col(s["error_out"]).isNull()).drop(s["error_out"]), "error_out": out.filter(F.col(s["error_out"]).isNotNull())}
 
     def _exec(self, s: dict, df: DataFrame) -> DataFrame:
-        """A statement for each row, and the row on. On JDBC connections only; on the catalog use upsert or scd2."""
+        """A statement for each row, all in one transaction while the flow is put together, and the rows on. On JDBC connections only; on the catalog use upsert or scd2."""
         conn = self._connection(s)
         if conn.get("type") == "spark":
             raise R.OperatorError("exec: the catalog has no row statements; use upsert or scd2")
-        url, sql, names = files.jdbc_url(conn), re.sub(r"\$\d+", "?", s["sql"]), s.get("parameters") or []
-        for row in df.select(*names).toLocalIterator():
-            link = self.spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
-            st = link.prepareStatement(sql)
-            for k, v in enumerate(row, 1):
-                st.setObject(k, v)
-            st.execute()
-            link.close()
+        sql, names = re.sub(r"\$\d+", "?", s["sql"]), s.get("parameters") or []
+        jdbc.execute_rows(self.spark, files.jdbc_url(conn), sql, df.select(*names).toLocalIterator())
         return df
 
     def _table(self, s: dict) -> DataFrame:
         conn = self._connection(s)
-        return self.spark.table(s["table"]) if conn.get("type") == "spark" else self.spark.read.format("jdbc").option("url", files.jdbc_url(conn)).option("dbtable", s["table"]).load()
+        return self.spark.table(s["table"]) if conn.get("type") == "spark" else self.spark.read.format("jdbc").option("url", files.jdbc_url(conn)).option("dbtable", jdbc.quoted(s["table"], files.jdbc_url(conn))).load()
 
     def _sink(self, kind: str, s: dict, df: DataFrame) -> None:
         if kind == "count_rows":
@@ -376,10 +378,12 @@ class Runner:
             if conn.get("type") == "spark":
                 rows.write.mode("overwrite" if s.get("truncate") else "append").saveAsTable(s["table"])
             else:
-                rows.write.format("jdbc").option("url", files.jdbc_url(conn)).option("dbtable", s["table"]).option("batchsize", s.get("batch_size", 10000)).option("truncate", bool(s.get("truncate"))).mode("overwrite" if s.get("truncate") else "append").save()
+                jdbc.append(rows, files.jdbc_url(conn), s["table"], int(s.get("batch_size", 10000)), bool(s.get("truncate")))
             return
         if conn.get("type") != "spark":
-            raise R.OperatorError(f"{s['type']}: writes to catalog tables; stage rows with copy and merge them there for JDBC")
+            if kind == "scd2":
+                raise R.OperatorError("scd2 writes to catalog tables only")
+            return jdbc.upsert(df, files.jdbc_url(conn), s["table"], s["key"], s.get("on_conflict", "update"), s.get("order_by", ()), s.get("columns"), int(s.get("batch_size", 10000)))
         old = self.spark.table(s["table"])
         if kind == "db.upsert":
             new = R.upsert(old, df, s["key"], s.get("on_conflict", "update"), s.get("order_by", ()), s.get("columns"))
@@ -403,3 +407,11 @@ def _expected(value: Any, want: Any) -> bool:
         return value == want
     checks = {"min": lambda w: value is not None and value >= w, "max": lambda w: value is not None and value <= w, "between": lambda w: value is not None and w[0] <= value <= w[1], "not_null": lambda w: (value is not None) == bool(w), "one_of": lambda w: value in w}
     return all(checks[k](w) for k, w in want.items())
+
+
+def _expectation(c: Column, want: Any) -> Column:
+    """What _expected says, as a column."""
+    if not isinstance(want, dict):
+        return c.isNull() if want is None else c == F.lit(want)
+    made = {"min": lambda w: c >= F.lit(w), "max": lambda w: c <= F.lit(w), "between": lambda w: c.between(F.lit(w[0]), F.lit(w[1])), "not_null": lambda w: c.isNotNull() == F.lit(bool(w)), "one_of": lambda w: c.isin(w)}
+    return functools.reduce(lambda a, b: a & b, (made[k](w) for k, w in want.items()), F.lit(True))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import csv
 import io
 import json
 import os
 import re
+import tempfile
 import zipfile
 from itertools import chain
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +24,9 @@ from millrace.operators.relational import OperatorError
 #: Code page numbers that are not windows-NNNN.
 CODEPAGES = {"65001": "UTF-8", "1200": "UTF-16LE", "1201": "UTF-16BE", "932": "Shift_JIS", "936": "GBK", "949": "EUC-KR", "950": "Big5", "20127": "US-ASCII", "28591": "ISO-8859-1", "28605": "ISO-8859-15", "437": "IBM437", "850": "IBM850", "852": "IBM852", "866": "IBM866"}
 
+#: Fixed values. Charsets that Spark's own reader takes.
+SPARK_CHARSETS = {"utf-8", "utf-16", "utf-16le", "utf-16be", "utf-32", "iso-8859-1", "us-ascii"}
+
 
 def charset(name: str | int) -> str:
     name = str(name)
@@ -40,7 +47,10 @@ def read_csv(spark: SparkSession, path: str, columns: list[dict] | None = None,
     Without columns the header's names are used, all bigint. Text has no null: an empty field is ""."""
     if len(delimiter) != 1:
         raise OperatorError("csv.read: delimiter must be one character")
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST", "encoding": charset(encoding)}
+    name = charset(encoding)
+    if name.lower() not in SPARK_CHARSETS:
+        return _read_csv_decoded(spark, path, columns, delimiter, header, name)
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST", "encoding": name}
     if not columns:
         if not header:
             raise OperatorError("csv.read: without a header, columns must be declared")
@@ -50,6 +60,26 @@ def read_csv(spark: SparkSession, path: str, columns: list[dict] | None = None,
     return df.select(*(_typed(F.col(f"c{i}"), c).alias(c["name"]) for i, c in enumerate(columns)))
 
 
+def _read_csv_decoded(spark: SparkSession, path: str, columns: list[dict] | None, delimiter: str, header: bool, encoding: str) -> DataFrame:
+    """Files in a charset that Spark's reader doesn't take: decoded and parsed a file a task, as that reader does with fields that span lines."""
+
+    def parse(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                lines = csv.reader(io.StringIO(content.as_py().decode(encoding), newline=""), delimiter=delimiter, strict=True)
+                rows = [r for r in lines if r]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string())), pa.array([k == 0 for k in range(len(rows))], pa.bool_())], ["r", "first"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "r array<string>, first boolean")
+    if not columns:
+        if not header:
+            raise OperatorError("csv.read: without a header, columns must be declared")
+        columns = [{"name": n, "type": "int64"} for n in rows.where("first").first()["r"]]
+    body = rows.where("not first") if header else rows
+    whole = F.when(F.size("r") == len(columns), F.col("r")).otherwise(F.raise_error(F.concat(F.lit(f"malformed row: {len(columns)} fields expected, got "), F.size("r").cast("string"))))
+    return body.select(whole.alias("r")).select(*(_typed(F.col("r")[i], c).alias(c["name"]) for i, c in enumerate(columns)))
+
+
 def _typed(c: Column, spec: dict) -> Column:
     kind = spec.get("type", "utf8")
     if kind in ("utf8", "string", "u"):
@@ -66,10 +96,14 @@ def _typed(c: Column, spec: dict) -> Column:
     return must.cast(spark_type(kind))
 
 
-def _g17(c: Column) -> Column:
-    """A double without digits that it doesn't need: integers without a point."""
-    whole = (c == F.floor(c)) & (F.abs(c) < 1e17)
-    return F.when(whole, c.cast("decimal(20,0)").cast("string")).otherwise(F.lower(c.cast("string")))
+def number_text(c: Column, digits: int = 17) -> Column:
+    """A number as C prints it with %.17g (doubles) or %.9g (floats). The JVM's own text has other digits, so this runs in Arrow batches."""
+
+    @F.arrow_udf("string")
+    def text(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else format(x, f".{digits}g") for x in v.to_pylist()], pa.string())
+
+    return text(c.cast("double"))
 
 
 def read_json(spark: SparkSession, path: str, columns: list, format: str = "ndjson") -> DataFrame:
@@ -86,7 +120,7 @@ def read_json(spark: SparkSession, path: str, columns: list, format: str = "ndjs
         v = F.try_variant_get("v", f"$['{name}']", "variant")
         kind = F.schema_of_variant(v)
         text = F.to_json(v)
-        number = _g17(F.try_variant_get("v", f"$['{name}']", "double"))
+        number = number_text(F.try_variant_get("v", f"$['{name}']", "double"))
         return F.when(F.is_variant_null(v) | v.isNull(), F.lit(None)).when(kind == "STRING", F.try_variant_get("v", f"$['{name}']", "string")).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), number).otherwise(text)
 
     return rows.select(*(cell(n).alias(n) for n in names))
@@ -194,7 +228,7 @@ def write_xlsx(df: DataFrame, path: str, sheet: str = "Sheet1", header: bool = T
         return f'<c t="inlineStr"><is><t xml:space="preserve">{esc(v)}</t></is></c>'
 
     n = 0
-    with zipfile.ZipFile(path + ".tmp", "w", zipfile.ZIP_DEFLATED) as z:
+    with _delivered(df.sparkSession, path) as local, zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
         z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="{_NS["p"]}"><Relationship Id="rId1" Type="{_NS["r"]}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{_NS["m"]}" xmlns:r="{_NS["r"]}"><sheets><sheet name="{esc(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
@@ -209,7 +243,6 @@ def write_xlsx(df: DataFrame, path: str, sheet: str = "Sheet1", header: bool = T
                 f.write((f'<row r="{k + 1}">' + "".join(cell(v).replace("<c", f'<c r="{c}{k + 1}"', 1) for c, v in zip(letters, row, strict=True)) + "</row>").encode())
                 n += 1
             f.write(b"</sheetData></worksheet>")
-    os.replace(path + ".tmp", path)
     return n - len(names)
 
 
@@ -225,7 +258,7 @@ def _letters(i: int) -> str:
 def rendered(c: Column, dt: T.DataType) -> Column:
     """A cell as CSV text: null is empty."""
     if isinstance(dt, (T.DoubleType, T.FloatType)):
-        text = _g17(c.cast("double") if isinstance(dt, T.DoubleType) else c)
+        text = number_text(c, 17 if isinstance(dt, T.DoubleType) else 9)
     elif isinstance(dt, T.TimestampNTZType):
         text = F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.when(F.date_format(c, "SSSSSS") != "000000", F.concat(F.lit("."), F.date_format(c, "SSSSSS"))).otherwise(""))
     elif isinstance(dt, T.TimestampType):
@@ -247,22 +280,45 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",", header: bool = Tru
     return _write_lines(df.select(line), path, first, "", charset(encoding))
 
 
+@contextlib.contextmanager
+def _delivered(spark: SparkSession, path: str):
+    """A local file of the driver to write; when that went well it becomes `path`, which may be a URL of any store that Spark knows."""
+    remote = re.match(r"^\w+:", path) is not None
+    local = tempfile.mktemp(prefix="millrace-sink-") if remote else path + ".tmp"
+    try:
+        yield local
+        if remote:
+            to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).copyFromLocalFile(True, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), to)
+        else:
+            os.replace(local, path)
+    finally:
+        if os.path.exists(local):
+            os.remove(local)
+
+
 def _write_lines(lines: DataFrame, path: str, first: str, last: str, encoding: str, between: str = "\n", close: str = "\n") -> int:
     n = 0
-    with open(path + ".tmp", "w", encoding=encoding, newline="") as f:
+    with _delivered(lines.sparkSession, path) as local, open(local, "w", encoding=encoding, newline="") as f:
         f.write(first)
         for row in lines.toLocalIterator(prefetchPartitions=True):
             f.write(("" if n == 0 else between if between != "\n" else "") + row[0] + (close if between == "\n" else ""))
             n += 1
         f.write(last)
-    os.replace(path + ".tmp", path)
     return n
 
 
 def write_json(df: DataFrame, path: str, format: str = "ndjson") -> int:
     """Nulls are written, NaN and infinities as null."""
-    clean = [F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None)).otherwise(c).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c for f in df.schema for c in [F.col(f"`{f.name}`")]]
-    lines = df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("line"))
+    def member(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            finite = ~F.isnan(c) & (F.abs(c) < float("inf"))
+            return F.concat(F.lit(f"{json.dumps(f.name, ensure_ascii=False)}:"), F.coalesce(F.when(finite, number_text(c, 17 if isinstance(f.dataType, T.DoubleType) else 9)), F.lit("null")))
+        whole = F.to_json(F.struct(c.alias(f.name)), {"ignoreNullFields": "false"})
+        return F.substring(whole, F.lit(2), F.char_length(whole) - 2)
+
+    lines = df.select(F.concat(F.lit("{"), F.concat_ws(",", *map(member, df.schema)), F.lit("}")).alias("line"))
     if format == "array":
         return _write_lines(lines, path, "[\n", "\n]\n", "utf-8", between=",\n")
     return _write_lines(lines, path, "", "", "utf-8")
