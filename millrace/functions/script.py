@@ -2,6 +2,10 @@
 
 Logic is two-valued as in the scripting language: null and false are false, everything else (0 and "" too) is true; `==` compares
 nulls as equal; `a and b or c` yields values. Statements, tables and other calls are rejected by name.
+
+Row scripts (compile_row_script) may also hold assignments to row and to local names, if ... elseif ... else ... end, comments and a
+closing `return row`; each becomes columns, with CASE for branches, so a script costs no Python worker. Loops, functions and tables are
+rejected.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.typed import ExpressionError
 
-_TOKEN = re.compile(r"""\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<name>[A-Za-z_]\w*)|(?P<op>\.\.|==|~=|<=|>=|//|[-+*/%#<>().,\[\]:]))""", re.X)
+_TOKEN = re.compile(r"""\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<name>[A-Za-z_]\w*)|(?P<op>\.\.|==|~=|<=|>=|//|[-+*/%#<>().,\[\]:=;]))""", re.X)
 _BINARY = {"or": 1, "and": 2, "<": 3, ">": 3, "<=": 3, ">=": 3, "==": 3, "~=": 3, "..": 4, "+": 5, "-": 5, "*": 6, "/": 6, "//": 6, "%": 6}
 _STATEMENTS = {"if", "then", "else", "elseif", "end", "for", "while", "do", "return", "local", "function", "repeat", "until"}
 
@@ -51,6 +55,8 @@ def _text(v: Val) -> Column:
 class _Reader:
     def __init__(self, source: str, schema: T.StructType, params: dict[str, str]):
         self.fields, self.params, self.tokens, at = {f.name: f for f in schema.fields}, params, [], 0
+        self.row: dict[str, Val] = {}  # what a script has assigned
+        self.locals: dict[str, Val] = {}
         source = source.rstrip()
         while at < len(source):
             m = _TOKEN.match(source, at)
@@ -137,6 +143,8 @@ class _Reader:
             name = self.index()
             if text == "params":
                 return Val(F.lit(self.params[name]), "str") if name in self.params else Val(F.lit(None), "nil")
+            if name in self.row:
+                return self.row[name]
             if name not in self.fields:
                 return Val(F.lit(None), "nil")
             f = self.fields[name]
@@ -153,6 +161,8 @@ class _Reader:
             if text == "tostring":
                 return Val(F.coalesce(_text(v), F.lit("nil")), "str")
             return v if v.kind in ("int", "num") else Val(F.expr("1").cast("double") * v.col.try_cast("double"), "num")
+        if text in self.locals:
+            return self.locals[text]
         if text in self.fields:
             raise ExpressionError(f"write row.{text} for the column")
         raise ExpressionError(f"unknown name {text!r}")
@@ -233,3 +243,92 @@ class _Reader:
 
 def compile_script(source: str, schema: T.StructType, params: dict[str, str] | None = None) -> Val:
     return _Reader(source, schema, params or {}).whole()
+
+
+class _Body(_Reader):
+    """A row script: statements over what has been assigned so far."""
+
+    def block(self, inner: bool) -> None:
+        while self.peek() not in ("", "end", "else", "elseif"):
+            kind, text = self.next()
+            if text == ";":
+                continue
+            if text == "return" and not inner and self.tokens[self.at :] in ([("name", "row")], [("name", "row"), ("op", ";")]):
+                self.at = len(self.tokens)
+            elif text == "if":
+                self.branches()
+            elif text == "local":
+                name = self.next()[1]
+                self.expect("=")
+                self.locals[name] = self.binary(1)
+            elif text == "row" and kind == "name":
+                name = self.index()
+                self.expect("=")
+                self.row[name] = self.binary(1)
+            elif text in self.locals:
+                self.expect("=")
+                self.locals[text] = self.binary(1)
+            else:
+                raise ExpressionError(f"{text!r} is not supported in a row script: use python.map")
+
+    def branches(self) -> None:
+        """Both sides of a condition, from the same state; names that they leave different become CASE."""
+        when = truth(self.binary(1))
+        self.expect("then")
+        row, names = dict(self.row), dict(self.locals)
+        self.block(True)
+        yes_row, yes_names = self.row, {k: v for k, v in self.locals.items() if k in names}
+        self.row, self.locals = dict(row), dict(names)
+        word = self.next()[1]
+        if word == "elseif":
+            self.branches()
+        else:
+            if word == "else":
+                self.block(True)
+                word = self.next()[1]
+            if word != "end":
+                raise ExpressionError("expected 'end'")
+        other = {k: v for k, v in self.locals.items() if k in names}
+        self.locals = {k: self.either(when, yes_names[k], other[k]) for k in names}
+        before = lambda k: row.get(k) or self.column(k)
+        self.row = {k: self.either(when, yes_row.get(k) or before(k), self.row.get(k) or before(k)) for k in {**yes_row, **self.row}}
+
+    def column(self, name: str) -> Val:
+        if name not in self.fields:
+            return Val(F.lit(None), "nil")
+        kind = _kind(self.fields[name].dataType)
+        return Val(F.col(f"`{name}`").cast("bigint") if kind == "int" else F.col(f"`{name}`"), kind)
+
+    @staticmethod
+    def either(when: Column, yes: Val, no: Val) -> Val:
+        if yes is no:
+            return yes
+        kinds = {yes.kind, no.kind} - {"nil"}
+        kind = "num" if kinds == {"int", "num"} else kinds.pop() if len(kinds) == 1 else "nil" if not kinds else None
+        if kind is None:
+            raise ExpressionError(f"a name is {yes.kind} in one branch and {no.kind} in another")
+        return Val(F.when(when, yes.col).otherwise(no.col), kind)
+
+
+def compile_row_script(source: str, schema: T.StructType, params: dict[str, str] | None = None) -> list[Column]:
+    """The columns of the schema after a row script; keys that aren't columns are dropped, nil gives null."""
+    plain = re.sub(r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|--[^\n]*""", lambda m: m[1] or " ", source)
+    body = _Body(plain, schema, params or {})
+    body.block(False)
+    if body.peek():
+        raise ExpressionError(f"unexpected {body.peek()!r}")
+    out = []
+    for f in schema.fields:
+        v = body.row.get(f.name)
+        if v is None:
+            out.append(F.col(f"`{f.name}`"))
+            continue
+        kind, col = _kind(f.dataType), v.col
+        if v.kind == "num" and kind == "int":
+            col = F.when(col.isNull() | (col == F.floor(col)), col).otherwise(F.raise_error(F.lit(f"row.{f.name}: the number has no integer representation")))
+        elif v.kind in ("int", "num") and kind == "str":
+            col = _text(v)
+        elif v.kind not in (kind, "nil") and not (v.kind == "int" and kind == "num"):
+            raise ExpressionError(f"row.{f.name} is {kind}, the script gives {v.kind}")
+        out.append(col.cast(f.dataType).alias(f.name))
+    return out

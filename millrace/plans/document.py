@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import os
 import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -33,13 +34,13 @@ STAGE = {"id", "type", "after", "on_failure", "retries", "retry_backoff", "timeo
 STEP = {"id", "type", "from", "description"}
 #: Fields of each component besides those of every step; required ones in upper case first.
 COMPONENTS: dict[str, tuple[set[str], set[str]]] = {
-    "csv.read": ({"path"}, {"delimiter", "header", "batch_size", "encoding", "schema"}), "json.read": ({"path", "columns"}, {"format"}), "xml.read": ({"path", "row_xpath", "columns"}, set()), "xlsx.read": ({"path"}, {"sheet", "header", "columns"}),
-    "parquet.read": ({"path"}, {"columns"}), "gen_int64": ({"row_count"}, {"start", "column", "batch_size"}), "gen_strings": ({"row_count"}, {"prefix", "id_column", "name_column", "batch_size"}), "db.read": ({"connection", "query"}, {"batch_size"}),
+    "csv.read": ({"path"}, {"delimiter", "header", "batch_size", "encoding", "schema", "multiline"}), "json.read": ({"path", "columns"}, {"format"}), "xml.read": ({"path", "row_xpath", "columns"}, set()), "xlsx.read": ({"path"}, {"sheet", "header", "columns"}),
+    "parquet.read": ({"path"}, {"columns"}), "gen_int64": ({"row_count"}, {"start", "column", "batch_size"}), "gen_strings": ({"row_count"}, {"prefix", "id_column", "name_column", "batch_size"}), "db.read": ({"connection", "query"}, {"batch_size", "partition"}),
     "csv.write": ({"path"}, {"delimiter", "header", "encoding"}), "json.write": ({"path"}, {"format"}), "xlsx.write": ({"path"}, {"sheet", "header"}), "parquet.write": ({"path"}, {"mode", "partition_by"}), "count_rows": (set(), {"expect"}),
     "db.upsert": ({"connection", "table", "key"}, {"on_conflict", "columns", "batch_size", "order_by"}), "db.append": ({"connection", "table"}, {"columns", "truncate", "batch_size", "mode"}), "db.exec": ({"connection", "sql"}, {"parameters"}),
     "filter": ({"where"}, set()), "map": (set(), {"add", "select"}), "audit": ({"columns"}, set()), "split": ({"cases"}, {"default"}), "multicast": ({"taps"}, set()), "limit": ({"n"}, set()), "sort": ({"by"}, set()), "union": (set(), set()),
     "unpivot": ({"id_cols", "value_cols", "name_col", "value_col"}, set()), "pivot": ({"id_cols", "name_col", "value_col", "pivot_keys"}, {"order_by"}), "join": ({"on"}, {"kind", "left", "right"}), "lookup": ({"connection", "table", "match", "select"}, {"on_miss"}),
-    "aggregate": ({"compute"}, {"group_by", "order_by"}), "distinct": (set(), {"keys", "by", "order_by"}), "python.map": ({"function"}, set()), "python.script": ({"function", "output_schema"}, {"group_by", "order_by", "error_out"}), "scd2": ({"connection", "table", "key", "tracked", "batch"}, set()),
+    "aggregate": ({"compute"}, {"group_by", "order_by"}), "distinct": (set(), {"keys", "by", "order_by"}), "python.map": (set(), {"function", "script"}), "python.script": ({"function", "output_schema"}, {"group_by", "order_by", "error_out"}), "scd2": ({"connection", "table", "key", "tracked", "batch"}, set()),
 }
 TASKS: dict[str, tuple[set[str], set[str]]] = {
     "dataflow": ({"steps"}, set()), "foreach": ({"as", "body"}, {"over", "over_glob", "over_query", "connection"}), "sql.execute": ({"connection"}, {"sql", "file", "params", "expect"}), "var.set": ({"name"}, {"value", "connection", "sql"}),
@@ -49,11 +50,29 @@ TASKS: dict[str, tuple[set[str], set[str]]] = {
 SOURCES = {"csv.read", "json.read", "xml.read", "xlsx.read", "parquet.read", "gen_int64", "gen_strings", "db.read"}
 SINKS = {"csv.write", "json.write", "xlsx.write", "parquet.write", "count_rows", "db.upsert", "db.append", "scd2"}
 SPLITS = {"split", "multicast"}
+#: What runs each component: step handlers take (runner, step, inputs) and give a DataFrame, or a dict of them by port; sinks take (runner, step, frame).
+HANDLERS: dict[str, Callable] = {}
 _DB = {"read": "db.read", "query": "db.read", "upsert": "db.upsert", "copy": "db.append", "bulkinsert": "db.append", "lookup": "lookup", "exec": "db.exec"}
 _ALIASES = {"conditional_split": "split", "lua.map": "python.map", "lua.script": "python.script", "lua.task": "python.task"}
 _SUBST = re.compile(r"\$\{(\w+)\.([\w.-]+)\}")
 
 
+def component(name: str, kind: str = "transform", required: Iterable[str] = (), optional: Iterable[str] = ()) -> Callable:
+    """Registers a component under a type name, with the fields that a document may give it. kind: source, transform or sink."""
+    if kind not in ("source", "transform", "sink"):
+        raise ValueError(f"{kind!r} is no kind of component")
+
+    def register(f: Callable) -> Callable:
+        if name in HANDLERS:
+            raise ValueError(f"component {name} is there already")
+        COMPONENTS.setdefault(name, (set(required), set(optional)))
+        {"source": SOURCES, "sink": SINKS}.get(kind, set()).add(name)
+        HANDLERS[name] = f
+        return f
+
+    return register
+
+
 def canonical(kind: str) -> str:
     """The component or task behind a type name: databases share theirs, and a namespace before a generator or counter is optional."""
     if kind in COMPONENTS or kind in TASKS:
@@ -241,6 +260,8 @@ def _steps(doc: Document, at: str, steps: list[dict], out: list[str]) -> None:
             out.append(f"{here}: needs from")
         if kind == "join" and refs and len(refs) != 2:
             out.append(f"{here}: join takes two inputs")
+        if kind == "python.map" and ("function" in s) == ("script" in s):
+            out.append(f"{here}: takes either function or script")
         if kind == "map" and ("add" in s) == ("select" in s):
             out.append(f"{here}: map takes either add or select")
         if kind == "map" and not (s.get("add") or s.get("select")):

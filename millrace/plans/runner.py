@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.engines import Scope, compile_expression
+from millrace.functions.script import compile_row_script
 from millrace.operators import relational as R
-from millrace.plans.document import SINKS, Document, bind, canonical, order, sources_of, substituted
+from millrace.plans.document import HANDLERS, SINKS, Document, bind, canonical, component, order, sources_of, substituted
 from millrace.sources import files, jdbc
 
 
@@ -275,59 +276,9 @@ class Runner:
         return p if re.match(r"^(/|\w+:)", p) else os.path.join(os.path.abspath(self.doc.base), p)
 
     def _step(self, kind: str, s: dict, i: list[DataFrame]) -> Any:
-        sp = self.spark
-        if kind == "csv.read":
-            return files.read_csv(sp, self._path(s["path"]), (s.get("schema") or {}).get("columns"), s.get("delimiter", ","), s.get("header", True), s.get("encoding", "utf-8"))
-        if kind == "json.read":
-            return files.read_json(sp, self._path(s["path"]), s["columns"], s.get("format", "ndjson"))
-        if kind == "xml.read":
-            return files.read_xml(sp, self._path(s["path"]), s["row_xpath"], s["columns"])
-        if kind == "xlsx.read":
-            return files.read_xlsx(sp, self._path(s["path"]), s.get("columns"), s.get("sheet"), s.get("header", True))
-        if kind == "parquet.read":
-            df = sp.read.parquet(self._path(s["path"]))
-            return df.select(*s["columns"]) if s.get("columns") else df
-        if kind == "gen_int64":
-            return files.generate_ints(sp, int(s["row_count"]), int(s.get("start", 0)), s.get("column", "id"))
-        if kind == "gen_strings":
-            return files.generate_strings(sp, int(s["row_count"]), s.get("prefix", "row_"), s.get("id_column", "id"), s.get("name_column", "name"))
-        if kind == "db.read":
-            return files.read_jdbc(sp, self._connection(s), s["query"], int(s.get("batch_size", 1024)))
-        if kind == "filter":
-            return R.filter_rows(i[0], s["where"], self.scope)
-        if kind == "map":
-            return R.map_add(i[0], s["add"], self.scope) if "add" in s else R.map_select(i[0], s["select"], self.scope)
-        if kind == "audit":
-            return R.audit(i[0], s["columns"])
-        if kind == "split":
-            return R.split_rows(i[0], s["cases"], s.get("default"), self.scope)
-        if kind == "multicast":
-            return R.multicast(i[0], s["taps"])
-        if kind == "limit":
-            return R.limit_rows(i[0], s["n"])
-        if kind == "sort":
-            return R.sort(i[0], s["by"])
-        if kind == "union":
-            return R.union(i)
-        if kind == "unpivot":
-            return R.unpivot(i[0], s["id_cols"], s["value_cols"], s["name_col"], s["value_col"])
-        if kind == "pivot":
-            return R.pivot(i[0], s["id_cols"], s["name_col"], s["value_col"], s["pivot_keys"], s.get("order_by", ()))
-        if kind == "join":
-            return R.join(i[0], i[1], s["on"], s.get("kind", "inner"))
-        if kind == "lookup":
-            return R.lookup(i[0], self._table(s), s["match"], s["select"], s.get("on_miss", "error"))
-        if kind == "aggregate":
-            return R.aggregate(i[0], s.get("group_by") or [], s["compute"], s.get("order_by", ()))
-        if kind == "distinct":
-            return R.distinct(i[0], s.get("keys") or s.get("by"), s.get("order_by", ()))
-        if kind == "python.map":
-            return i[0].mapInPandas(self._function(s["function"]), i[0].schema)
-        if kind == "python.script":
-            return self._script(s, i[0])
-        if kind == "db.exec":
-            return self._exec(s, i[0])
-        raise R.OperatorError(f"unknown component {kind}")
+        if kind not in HANDLERS:
+            raise R.OperatorError(f"unknown component {kind}")
+        return HANDLERS[kind](self, s, i)
 
     def _script(self, s: dict, df: DataFrame) -> Any:
         """A generator over pandas batches; by key if group_by is given (that scales), else in one ordered stream."""
@@ -355,21 +306,18 @@ class Runner:
         return self.spark.table(s["table"]) if conn.get("type") == "spark" else self.spark.read.format("jdbc").option("url", files.jdbc_url(conn)).option("dbtable", jdbc.quoted(s["table"], files.jdbc_url(conn))).load()
 
     def _sink(self, kind: str, s: dict, df: DataFrame) -> None:
-        if kind == "count_rows":
-            n = df.count()
-            self.log.append((s["id"], f"{n} rows"))
-            if "expect" in s and n != int(s["expect"]):
-                raise R.OperatorError(f"count_rows: expected {s['expect']} rows, got {n}")
-        elif kind == "csv.write":
-            files.write_csv(df, self._path(s["path"]), s.get("delimiter", ","), s.get("header", True), s.get("encoding", "utf-8"))
-        elif kind == "json.write":
-            files.write_json(df, self._path(s["path"]), s.get("format", "ndjson"))
-        elif kind == "xlsx.write":
-            files.write_xlsx(df, self._path(s["path"]), s.get("sheet", "Sheet1"), s.get("header", True))
-        elif kind == "parquet.write":
-            df.write.mode(s.get("mode", "overwrite")).partitionBy(*s.get("partition_by", [])).parquet(self._path(s["path"]))
-        elif kind in ("db.append", "db.upsert", "scd2"):
-            self._store(kind, s, df)
+        HANDLERS[kind](self, s, df)
+
+    def _count(self, s: dict, df: DataFrame) -> None:
+        n = df.count()
+        self.log.append((s["id"], f"{n} rows"))
+        if "expect" in s and n != int(s["expect"]):
+            raise R.OperatorError(f"count_rows: expected {s['expect']} rows, got {n}")
+
+    def _python_map(self, s: dict, df: DataFrame) -> DataFrame:
+        if "script" in s:
+            return df.select(*compile_row_script(s["script"], df.schema, self.scope.params))
+        return df.mapInPandas(self._function(s["function"]), df.schema)
 
     def _store(self, kind: str, s: dict, df: DataFrame) -> None:
         conn = self._connection(s)
@@ -415,3 +363,47 @@ def _expectation(c: Column, want: Any) -> Column:
         return c.isNull() if want is None else c == F.lit(want)
     made = {"min": lambda w: c >= F.lit(w), "max": lambda w: c <= F.lit(w), "between": lambda w: c.between(F.lit(w[0]), F.lit(w[1])), "not_null": lambda w: c.isNotNull() == F.lit(bool(w)), "one_of": lambda w: c.isin(w)}
     return functools.reduce(lambda a, b: a & b, (made[k](w) for k, w in want.items()), F.lit(True))
+
+
+def _parquet(r: Runner, s: dict, _: list[DataFrame]) -> DataFrame:
+    df = r.spark.read.parquet(r._path(s["path"]))
+    return df.select(*s["columns"]) if s.get("columns") else df
+
+
+#: The components that are there from the start.
+for _name, _made in {
+    "csv.read": lambda r, s, i: files.read_csv(r.spark, r._path(s["path"]), (s.get("schema") or {}).get("columns"), s.get("delimiter", ","), s.get("header", True), s.get("encoding", "utf-8"), s.get("multiline", True)),
+    "json.read": lambda r, s, i: files.read_json(r.spark, r._path(s["path"]), s["columns"], s.get("format", "ndjson")),
+    "xml.read": lambda r, s, i: files.read_xml(r.spark, r._path(s["path"]), s["row_xpath"], s["columns"]),
+    "xlsx.read": lambda r, s, i: files.read_xlsx(r.spark, r._path(s["path"]), s.get("columns"), s.get("sheet"), s.get("header", True)),
+    "parquet.read": _parquet,
+    "gen_int64": lambda r, s, i: files.generate_ints(r.spark, int(s["row_count"]), int(s.get("start", 0)), s.get("column", "id")),
+    "gen_strings": lambda r, s, i: files.generate_strings(r.spark, int(s["row_count"]), s.get("prefix", "row_"), s.get("id_column", "id"), s.get("name_column", "name")),
+    "db.read": lambda r, s, i: files.read_jdbc(r.spark, r._connection(s), s["query"], int(s.get("batch_size", 1024)), s.get("partition")),
+    "filter": lambda r, s, i: R.filter_rows(i[0], s["where"], r.scope),
+    "map": lambda r, s, i: R.map_add(i[0], s["add"], r.scope) if "add" in s else R.map_select(i[0], s["select"], r.scope),
+    "audit": lambda r, s, i: R.audit(i[0], s["columns"]),
+    "split": lambda r, s, i: R.split_rows(i[0], s["cases"], s.get("default"), r.scope),
+    "multicast": lambda r, s, i: R.multicast(i[0], s["taps"]),
+    "limit": lambda r, s, i: R.limit_rows(i[0], s["n"]),
+    "sort": lambda r, s, i: R.sort(i[0], s["by"]),
+    "union": lambda r, s, i: R.union(i),
+    "unpivot": lambda r, s, i: R.unpivot(i[0], s["id_cols"], s["value_cols"], s["name_col"], s["value_col"]),
+    "pivot": lambda r, s, i: R.pivot(i[0], s["id_cols"], s["name_col"], s["value_col"], s["pivot_keys"], s.get("order_by", ())),
+    "join": lambda r, s, i: R.join(i[0], i[1], s["on"], s.get("kind", "inner")),
+    "lookup": lambda r, s, i: R.lookup(i[0], r._table(s), s["match"], s["select"], s.get("on_miss", "error")),
+    "aggregate": lambda r, s, i: R.aggregate(i[0], s.get("group_by") or [], s["compute"], s.get("order_by", ())),
+    "distinct": lambda r, s, i: R.distinct(i[0], s.get("keys") or s.get("by"), s.get("order_by", ())),
+    "python.map": lambda r, s, i: r._python_map(s, i[0]),
+    "python.script": lambda r, s, i: r._script(s, i[0]),
+    "db.exec": lambda r, s, i: r._exec(s, i[0]),
+    "count_rows": lambda r, s, df: r._count(s, df),
+    "csv.write": lambda r, s, df: files.write_csv(df, r._path(s["path"]), s.get("delimiter", ","), s.get("header", True), s.get("encoding", "utf-8")),
+    "json.write": lambda r, s, df: files.write_json(df, r._path(s["path"]), s.get("format", "ndjson")),
+    "xlsx.write": lambda r, s, df: files.write_xlsx(df, r._path(s["path"]), s.get("sheet", "Sheet1"), s.get("header", True)),
+    "parquet.write": lambda r, s, df: df.write.mode(s.get("mode", "overwrite")).partitionBy(*s.get("partition_by", [])).parquet(r._path(s["path"])),
+    "db.append": lambda r, s, df: r._store("db.append", s, df),
+    "db.upsert": lambda r, s, df: r._store("db.upsert", s, df),
+    "scd2": lambda r, s, df: r._store("scd2", s, df),
+}.items():
+    component(_name)(_made)

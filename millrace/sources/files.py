@@ -41,8 +41,8 @@ def generate_strings(spark: SparkSession, row_count: int, prefix: str = "row_",
     return spark.range(row_count).select(F.col("id").alias(id_column), F.concat(F.lit(prefix), F.col("id").cast("string")).alias(name_column))
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[dict] | None = None, delimiter: str = ",", header: bool = True, encoding: str = "utf-8") -> DataFrame:
-    """Quoted fields may span lines; blank lines are skipped; any malformed row or field fails. Columns go by position.
+def read_csv(spark: SparkSession, path: str, columns: list[dict] | None = None, delimiter: str = ",", header: bool = True, encoding: str = "utf-8", multiline: bool = True) -> DataFrame:
+    """Quoted fields may span lines, so a file is one task's; with multiline false they may not, and large files are split. Blank lines are skipped; any malformed row or field fails. Columns go by position.
 
     Without columns the header's names are used, all bigint. Text has no null: an empty field is ""."""
     if len(delimiter) != 1:
@@ -50,7 +50,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[dict] | None = None,
     name = charset(encoding)
     if name.lower() not in SPARK_CHARSETS:
         return _read_csv_decoded(spark, path, columns, delimiter, header, name)
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST", "encoding": name}
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": multiline, "mode": "FAILFAST", "encoding": name}
     if not columns:
         if not header:
             raise OperatorError("csv.read: without a header, columns must be declared")
@@ -324,11 +324,16 @@ def write_json(df: DataFrame, path: str, format: str = "ndjson") -> int:
     return _write_lines(lines, path, "", "", "utf-8")
 
 
-def read_jdbc(spark: SparkSession, connection: dict, query: str, fetch: int = 1024) -> DataFrame:
-    """A query over a connection: type spark runs it on the session's catalog, others through JDBC."""
+def read_jdbc(spark: SparkSession, connection: dict, query: str, fetch: int = 1024, partition: dict | None = None) -> DataFrame:
+    """A query over a connection: type spark runs it on the session's catalog, others through JDBC.
+
+    partition: {column, lower, upper, parts} reads ranges of a column in as many tasks; without it one task reads all."""
     if connection.get("type") == "spark":
         return spark.sql(query)
-    return spark.read.format("jdbc").option("url", jdbc_url(connection)).option("query", query).option("fetchsize", fetch).load()
+    read = spark.read.format("jdbc").option("url", jdbc_url(connection)).option("fetchsize", fetch)
+    if partition:
+        return read.options(dbtable=f"({query}) q", partitionColumn=partition["column"], lowerBound=partition["lower"], upperBound=partition["upper"], numPartitions=partition["parts"]).load()
+    return read.option("query", query).load()
 
 
 def jdbc_url(connection: dict) -> str:

@@ -230,3 +230,87 @@ def test_expectations_of_all_rows(spark, expect, fine):
     else:
         with pytest.raises(StageFailed, match="expect"):
             runner.run()
+
+
+# ---- row scripts, own components
+
+
+SCRIPT = """
+-- the usual clean-up
+local total = row.a + row.b      -- a "local"
+if row.s == nil or row.s == "-- none" then
+  row.s = "none"; row.extra = 1
+elseif total > 10 then
+  row.s = row.s:upper() .. "!"
+  total = 10
+else
+  row["s"] = row.s .. total
+end
+row.a = total
+if row.extra then row.b = nil end
+return row
+"""
+
+
+def row_script(a, b, s):
+    """What the script does, in plain Python."""
+    total, extra = a + b, None
+    if s is None or s == "-- none":
+        s, extra = "none", 1
+    elif total > 10:
+        s, total = s.upper() + "!", 10
+    else:
+        s = s + str(total)
+    return total, None if extra else b, s
+
+
+def test_row_scripts(spark):
+    data = [(1, 2, "x"), (9, 9, "big"), (1, 1, None), (3, 4, "-- none"), (5, 5, "edge")]
+    df = spark.createDataFrame(data, "a long, b int, s string")
+    runner = Runner(spark, document([{"id": "q", "type": "shell", "argv": ["true"]}]))
+    got = runner._step("python.map", {"script": SCRIPT}, [df])
+    assert got.dtypes == df.dtypes and [tuple(r) for r in got.collect()] == [row_script(*r) for r in data]
+    for bad in ("for i = 1, 2 do end", "row.a = {}", "row.a = 'text'", "if row.a == 1 then row.a = 2", "return 5", "x = 1", "row.a = 1 end"):
+        with pytest.raises(Exception, match="."):
+            runner._step("python.map", {"script": bad}, [df])
+    with pytest.raises(Exception, match="integer representation"):
+        runner._step("python.map", {"script": "row.a = row.a / 2"}, [df]).collect()
+
+
+def test_row_script_in_a_document(spark):
+    steps = [{"id": "a", "type": "gen_int64", "row_count": 4}, {"id": "m", "type": "lua.map", "from": "a", "script": "row.id = row.id * row.id"}]
+    doc = document([{"id": "s", "type": "dataflow", "steps": [*steps, {"id": "n", "type": "count_rows", "from": "m", "expect": 4}]}])
+    assert [r.id for r in Runner(spark, doc).frames(steps)["m"].collect()] == [0, 1, 4, 9]
+    with pytest.raises(Exception, match="either function or script"):
+        document([{"id": "s", "type": "dataflow", "steps": [steps[0], {"id": "m", "type": "lua.map", "from": "a"}]}])
+
+
+def test_own_components(spark):
+    from millrace.plans import document as d
+
+    @d.component("test.tripled", required=["column"])
+    def tripled(runner, step, inputs):
+        return inputs[0].withColumn(step["column"], F.col(step["column"]) * 3)
+
+    seen = []
+
+    @d.component("test.keep", "sink")
+    def keep(runner, step, df):
+        seen.extend(r[0] for r in df.collect())
+
+    try:
+        steps = [{"id": "a", "type": "gen_int64", "row_count": 3}, {"id": "t", "type": "test.tripled", "from": "a", "column": "id"}, {"id": "k", "type": "test.keep", "from": "t"}]
+        Runner(spark, document([{"id": "s", "type": "dataflow", "steps": steps}])).run()
+        assert seen == [0, 3, 6]
+        with pytest.raises(d.DocumentError, match="missing column"):
+            document([{"id": "s", "type": "dataflow", "steps": [steps[0], {"id": "t", "type": "test.tripled", "from": "a"}]}])
+        with pytest.raises(ValueError, match="there already"):
+            d.component("test.keep", "sink")(keep)
+    finally:
+        for name in ("test.tripled", "test.keep"):
+            d.COMPONENTS.pop(name), d.HANDLERS.pop(name), d.SINKS.discard(name)
+
+
+def test_partitioned_read(spark, table):
+    df = files.read_jdbc(spark, {"type": "derby", "dsn": URL}, f'SELECT "id", "v" FROM "{table}"', partition={"column": "id", "lower": 1, "upper": 3, "parts": 3})
+    assert df.rdd.getNumPartitions() > 1 and sorted(r.id for r in df.collect()) == [1, 2, 3]
