@@ -282,16 +282,24 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",", header: bool = Tru
 
 @contextlib.contextmanager
 def _delivered(spark: SparkSession, path: str):
-    """A local file of the driver to write; when that went well it becomes `path`, which may be a URL of any store that Spark knows."""
-    remote = re.match(r"^\w+:", path) is not None
-    local = tempfile.mktemp(prefix="millrace-sink-") if remote else path + ".tmp"
+    """A local file of the driver to write; when that went well it becomes `path`, in the store that Spark would read it from."""
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs
+    to = java.Path(path)
+    store = to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    here = to.toUri().getPath() if store.getUri().getScheme() == "file" else None
+    if here:
+        os.makedirs(os.path.dirname(os.path.abspath(here)), exist_ok=True)
+    if here:
+        local = f"{here}.tmp"
+    else:
+        handle, local = tempfile.mkstemp(prefix="millrace-sink-")
+        os.close(handle)
     try:
         yield local
-        if remote:
-            to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).copyFromLocalFile(True, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), to)
+        if here:
+            os.replace(local, here)
         else:
-            os.replace(local, path)
+            store.copyFromLocalFile(True, True, java.Path(f"file://{local}"), to)
     finally:
         if os.path.exists(local):
             os.remove(local)
