@@ -245,7 +245,9 @@ def upsert(target: DataFrame, incoming: DataFrame, key: list[str], on_conflict:
     rows = incoming.select(F.struct(*(q(c).cast(target.schema[c].dataType).alias(c) for c in cols)).alias("n"), seq.alias("s"))
     whole = reduce(lambda a, b: a & b, (F.col(f"n.`{k}`").isNotNull() for k in key))
     pick = F.min_by if mode == "ignore" else F.max_by
-    last = rows.filter(whole).groupBy(*(F.col(f"n.`{k}`").alias(f"__k{i}") for i, k in enumerate(key))).agg(pick("n", "s").alias("n"), F.count(F.lit(1)).alias("c"))
+    # a row with a null in its key is a group of its own, which matches nothing
+    rows = rows.withColumn("g", F.when(whole, F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    last = rows.groupBy(*(F.col(f"n.`{k}`").alias(f"__k{i}") for i, k in enumerate(key)), "g").agg(pick("n", "s").alias("n"), F.count(F.lit(1)).alias("c"))
     old = target.select(F.struct("*").alias("o"), *(q(k).alias(f"__t{i}") for i, k in enumerate(key)))
     cond = reduce(lambda a, b: a & b, (F.col(f"__t{i}") == F.col(f"__k{i}") for i in range(len(key))))
     both = old.join(last, cond, "full")
@@ -255,9 +257,7 @@ def upsert(target: DataFrame, incoming: DataFrame, key: list[str], on_conflict:
     hit = F.col("n").isNotNull() & (F.col("o").isNull() | F.lit(mode == "update"))
     if mode == "update_if_changed":
         hit |= F.col("n").isNotNull() & reduce(lambda a, b: a | b, (~F.col(f"o.`{c}`").eqNullSafe(F.col(f"n.`{c}`")) for c in rest))
-    out = both.select(*(F.when(hit, F.col(f"n.`{c}`")).otherwise(F.col(f"o.`{c}`")).alias(c) if c in cols else F.col(f"o.`{c}`").alias(c) for c in target.columns))
-    loose = rows.filter(~whole).select(*(F.col(f"n.`{c}`").alias(c) if c in cols else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns))
-    return out.unionAll(loose)
+    return both.select(*(F.when(hit, F.col(f"n.`{c}`")).otherwise(F.col(f"o.`{c}`")).alias(c) if c in cols else F.col(f"o.`{c}`").alias(c) for c in target.columns))
 
 
 def scd2(dim: DataFrame, staging: DataFrame, key: str, tracked: list[str], batch: Column, current: str = "is_current", valid_from: str = "valid_from", valid_to: str = "valid_to") -> DataFrame:

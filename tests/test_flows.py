@@ -245,3 +245,25 @@ def test_registered_whole_joins(spark, kind):
     assert hits and alone and lost
     want = hits + (alone if kind in ("left", "outer") else 0) + (lost if kind in ("right", "outer") else 0)
     assert QUERIES[f"join_{kind}_whole"](spark, d).count() == want
+
+
+@pytest.mark.parametrize("mode", ["update", "update_if_changed", "ignore", "error"])
+def test_upsert_by_hand(spark, mode):
+    from millrace.operators import relational as R
+
+    old = [(1, "a", 10, "x"), (2, "b", None, "y"), (None, "n", 1, "z")]
+    new = [(1, "A", 1), (1, "B", 2), (2, "b", 3), (3, "c", 1), (None, "m", 1), (None, "m", 1)] if mode != "error" else [(3, "c", 1), (None, "m", 1), (None, "m", 1)]
+    target, incoming = spark.createDataFrame(old, "k long, s string, v long, extra string"), spark.createDataFrame(new, "k long, s string, n long").repartition(3)
+    got = [tuple(r) for r in R.upsert(target, incoming, ["k"], mode, ["n"], ["k", "s"]).collect()]
+    table = {r[0]: r for r in old if r[0] is not None}
+    for k, s, _ in sorted((r for r in new if r[0] is not None), key=lambda r: r[2]):
+        if k not in table:
+            table[k] = (k, s, None, None)
+        elif mode != "ignore":
+            table[k] = (k, s, *table[k][2:])
+    want = [*table.values(), old[2], (None, "m", None, None), (None, "m", None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    if mode == "error":
+        for bad in ([(1, "a", 1)], [(5, "a", 1), (5, "b", 2)]):
+            with pytest.raises(Exception, match="upsert: key"):
+                R.upsert(target, spark.createDataFrame(bad, "k long, s string, n long"), ["k"], mode, ["n"], ["k", "s"]).collect()
