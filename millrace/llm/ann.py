@@ -4,7 +4,8 @@ Each vector is cut into subspaces of two dimensions with 16 centres each (four b
 |r|^2 + (eta - 1) (r . x/|x|)^2 for the residual r of a vector x: the part of the error that is parallel to x, which changes
 high scores, counts eta times. The codebook is fitted on at most SAMPLE rows, those with the smallest hash of the key; every
 row is coded. A search scans four-bit tables, two subspaces at a lookup, over tiles of queries by rows, keeps `depth` rows for
-each query of a tile, and ranks these by the exact inner product in double precision. Rows of a tile with equal vectors are
+each query of a tile, and ranks these by the exact inner product in double precision; where rows lie so close together that codes don't
+tell them apart, the next `depth` rows follow, until such a block has none that belongs to the best. Rows of a tile with equal vectors are
 scanned as one and expanded to their smallest keys after the ranking, so `depth` counts distinct vectors; those that tie with the
 last of them are kept too.
 
@@ -188,6 +189,16 @@ def search(rows: DataFrame, is_query, k: int, depth: int = 200, key: str = "vec_
             for c in range(score.shape[1]):
                 t = np.nonzero(score[:, c] >= score[top[:, c], c].min())[0]  # with all that tie with the last
                 exact = (x[t] * q[s + c]).sum(1)
+                seen = keep
+                while seen < len(x) and len(t) >= k:
+                    more, limit = min(seen + depth, len(x)), score[t, c].min()
+                    low_ = np.partition(score[:, c], len(x) - more)[len(x) - more]
+                    block = np.nonzero((score[:, c] >= low_) & (score[:, c] < limit) & (score[:, c] > -np.inf))[0]
+                    known = np.partition(exact, len(exact) - k)[len(exact) - k]
+                    found_ = (x[block] * q[s + c]).sum(1)
+                    t, exact, seen = np.concatenate([t, block]), np.concatenate([exact, found_]), more
+                    if not (found_ >= known).any():
+                        break
                 # a group's smallest keys: as many as the query takes, and more while rows of its own key are among them
                 rows, scores, want = [], [], k
                 for g, e in sorted(zip(t.tolist(), exact.tolist(), strict=True), key=lambda y: -y[1]):
