@@ -5,11 +5,15 @@ the number of documents:
 
 1. pieces that fill a sequence get their own;
 2. lengths above a small share of the capacity are put in order and dealt into groups of equal cardinality; each counts as the
-   longest of its group, so there are few sizes. Configurations of these sizes are chosen one after the other: the largest
-   size left, filled up by the subset of the others that leaves the least room, repeated as often as the counts allow;
+   longest of its group, so there are few sizes. How often each configuration of these sizes is used is optimised: the linear
+   program that covers all groups by the fewest configurations is solved by column generation, in which a knapsack over the duals
+   finds the next configuration; whole parts of its solution are used. What is left is filled one configuration after the other:
+   the largest size left, with the subset of the others that leaves the least room, as often as the counts allow;
 3. actual lengths take the places of the rounded ones, which gives room back;
 4. the small lengths go, longest first, where they leave the least room.
 
+This is done with optimised configurations and without, there also for FINER times as many groups; the plan with the fewest sequences counts.
+
 The plan is a table of runs (length, ranks from-to, first sequence, offset): the item of a length with rank r lies in sequence
 `first + r - from` at `offset`. Ranks are row numbers within (length, salt) plus a running count over salts, so a length that a
 third of all items have is spread over many tasks.
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import give_back, slices, strings, words_of, written
 
-GROUPS = 64
+GROUPS, FINER = 64, 8
 SLICE_BYTES = 4 << 20
 SMALL_SHARE = 8
 
@@ -51,18 +55,26 @@ class _Bins:
 
 
 def plan(hist: dict[int, int], capacity: int, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
-    """(length, rank from, rank to, first sequence, offset) runs that place every item of the histogram."""
+    """(length, rank from, rank to, first sequence, offset) runs that place every item of the histogram, in the fewest sequences of three plans.
+
+    Optimised configurations of few sizes win where few lengths go together well; many sizes, which are too many to optimise over, win
+    where small lengths fill what rounding wastes."""
+    made = (_plan(hist, capacity, groups, True), _plan(hist, capacity, groups, False), _plan(hist, capacity, FINER * groups, False))
+    return min(made, key=lambda b: b.next).plan
+
+
+def _plan(hist: dict[int, int], capacity: int, groups: int, optimise: bool) -> _Bins:
     bins = _Bins(capacity)
     small = capacity // SMALL_SHARE
     full = hist.get(capacity, 0)
     bins.place(capacity, 0, 0, full, 0)
     bins.next = full
     large = sorted(((n, c) for n, c in hist.items() if small < n < capacity), reverse=True)
-    _configurations(bins, _grouped(large, groups))
+    _configurations(bins, _grouped(large, groups), optimise)
     used: dict[int, int] = {}
     for n in sorted((n for n in hist if n <= small), reverse=True):
         _best_fit(bins, n, hist[n], used)
-    return bins.plan
+    return bins
 
 
 def _grouped(large: list[tuple[int, int]], groups: int) -> list[list[list[int]]]:
@@ -82,23 +94,73 @@ def _grouped(large: list[tuple[int, int]], groups: int) -> list[list[list[int]]]
     return out
 
 
-def _configurations(bins: _Bins, queues: list[list[list[int]]]) -> None:
+def _configurations(bins: _Bins, queues: list[list[list[int]]], optimise: bool) -> None:
     size = [q[0][0] for q in queues]
     left = [sum(x[1] for x in q) for q in queues]
     cap = bins.capacity
+
+    def apply(use: dict[int, int], times: int) -> None:
+        first = bins.next
+        bins.next += times
+        runs = [(first, times, 0)]  # sequences and how full they are
+        for g, k in use.items():
+            left[g] -= k * times
+            for _ in range(k):
+                runs = _substitute(bins, queues[g], runs)
+        for f, c, fill in runs:
+            bins.add(cap - fill, f, c)
+
+    for use, share in _optimal(size, left, cap) if optimise else []:
+        times = min(int(share + 1e-6), *(left[g] // k for g, k in use.items()))
+        if times:
+            apply(use, times)
     for top in range(len(queues)):
         while left[top]:
             use = _fill(size, left, top, cap)
-            times = min(left[g] // k for g, k in use.items())
-            first = bins.next
-            bins.next += times
-            runs = [(first, times, 0)]  # sequences and how full they are
-            for g, k in use.items():
-                left[g] -= k * times
-                for _ in range(k):
-                    runs = _substitute(bins, queues[g], runs)
-            for f, c, fill in runs:
-                bins.add(cap - fill, f, c)
+            apply(use, min(left[g] // k for g, k in use.items()))
+
+
+def _optimal(size: list[int], need: list[int], cap: int, rounds: int = 2000) -> list[tuple[dict[int, int], float]]:
+    """(configuration, how often) of the fewest configurations, in fractions, that hold `need` items of each size; largest shares first.
+
+    Simplex over a basis of as many configurations as there are sizes; each step brings in the configuration with the largest sum of duals.
+    Ends when no sum is above 1, or after `rounds` steps with what is found by then, which covers the same items."""
+    n = len(size)
+    if not n:
+        return []
+    basis = np.diag([cap // s for s in size]).astype(float)  # a column is a configuration
+    amount = np.array(need, float)
+    for _ in range(rounds):
+        duals = np.linalg.solve(basis.T, np.ones(n))
+        column = _knapsack(size, np.maximum(duals, 0), cap)
+        if duals @ column <= 1 + 1e-9:
+            break
+        share, step = np.linalg.solve(basis, amount), np.linalg.solve(basis, column)
+        if not (step > 1e-9).any():
+            break
+        ratio = np.where(step > 1e-9, np.maximum(share, 0) / np.where(step > 1e-9, step, 1), np.inf)
+        basis[:, ratio.argmin()] = column
+    share = np.linalg.solve(basis, amount)
+    return [({int(g): int(round(basis[g, k])) for g in np.nonzero(basis[:, k] > 0.5)[0]}, float(share[k])) for k in np.argsort(-share, kind="stable") if share[k] > 0]
+
+
+def _knapsack(size: list[int], value: np.ndarray, cap: int) -> np.ndarray:
+    """The numbers of items of each size, together at most `cap` long, with the largest sum of values."""
+    best, taken = np.zeros(cap + 1), []
+    for _ in range(cap // min(size)):
+        grown, pick = best.copy(), np.full(cap + 1, -1)
+        for g, s in enumerate(size):
+            other = best[:-s] + value[g]
+            better = other > grown[s:] + 1e-12
+            grown[s:][better], pick[s:][better] = other[better], g
+        taken.append(pick)
+        best = grown
+    out, room = np.zeros(len(size)), cap
+    for pick in reversed(taken):
+        if pick[room] >= 0:
+            out[pick[room]] += 1
+            room -= size[pick[room]]
+    return out
 
 
 def _fill(size: list[int], left: list[int], top: int, cap: int) -> dict[int, int]:

@@ -197,6 +197,28 @@ def test_plan_places_every_item_once_and_tightly(seed):
 # ---- exact and near duplicates
 
 
+def test_configurations_are_optimal_where_that_can_be_told():
+    """Triples that fill a sequence, found only by looking at all sizes at once; and the fractional optimum of small programs."""
+    hist = {1900: 300, 1300: 300, 896: 300, 2048: 100}
+    assert max(first + b - a for _, a, b, first, _ in packing.plan(hist, 4096)) == 350
+    r = random.Random(3)
+    for _ in range(20):
+        size = sorted({r.randint(30, 99) for _ in range(4)}, reverse=True)
+        need = [r.randint(1, 40) for _ in size]
+        found = packing._optimal(size, need, 100)
+        assert all(sum(size[g] * k for g, k in use.items()) <= 100 for use, _ in found)
+        for g, n in enumerate(need):
+            assert sum(use.get(g, 0) * share for use, share in found) == pytest.approx(n)
+        # by duality: prices under which no configuration costs more than one, worth as much as the solution
+        every = [c for c in np.ndindex(*(100 // s + 1 for s in size)) if any(c) and sum(a * b for a, b in zip(c, size, strict=True)) <= 100]
+        total = sum(share for _, share in found)
+        used = np.array([[use.get(g, 0) for g in range(len(size))] for use, share in found if share > 1e-9], float)
+        prices = np.linalg.lstsq(used, np.ones(len(used)), rcond=None)[0]
+        if len(used) == len(size):
+            assert prices @ need == pytest.approx(total)
+            assert max(float(np.dot(c, prices)) for c in every) <= 1 + 1e-6
+
+
 def test_exact_duplicates(docs, none):
     got = exact_dedup.duplicate_groups(docs).collect()
     groups = collections.defaultdict(list)
