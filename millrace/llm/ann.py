@@ -9,7 +9,9 @@ tell them apart, the next `depth` rows follow, until such a block has none that
 scanned as one and expanded to their smallest keys after the ranking, so `depth` counts distinct vectors; those that tie with the
 last of them are kept too.
 
-Tiles are bounded by the rows in them, so no task holds all queries or all rows.
+Tiles are bounded by the rows and values in them, so no task holds all queries or all rows. A tile has as many queries as rows at
+most: a vector is sent once for each tile of a row or column of tiles, so moved bytes are N * Q * (1 / rows + 1 / queries) vectors.
+Tables of less than a full tile for each core get smaller tiles, at least LEAST_ROWS rows each.
 
 Defined results: vectors that are null, zero, of another length than most of the sample's, or hold null or non-finite
 components take no part, as rows or queries; ties go to the smaller key; a query never finds its own row, but rows with equal
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 SAMPLE = 20000
 THRESHOLD = 0.2
 CENTRES = 16
-TILE_ROWS, TILE_QUERIES = 8192, 2048
+TILE_ROWS, TILE_VALUES, LEAST_ROWS = 16384, 1 << 22, 2048
 
 
 class Codebook:
@@ -145,8 +147,9 @@ def search(rows: DataFrame, is_query, k: int, depth: int = 200, key: str = "vec_
         return spark.createDataFrame([], schema)
     base = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
     counts = base.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query(F.col("id"))).alias("q")).first()
-    across = max(1, -(-counts["n"] // TILE_ROWS))  # by rows alone: each tile yields k rows a query
-    down = max(1, -(-counts["q"] // TILE_QUERIES))
+    side = max(1, min(TILE_ROWS, TILE_VALUES // book.dim))
+    across = max(1, -(-counts["n"] // side), min(spark.sparkContext.defaultParallelism, counts["n"] // LEAST_ROWS))
+    down = max(1, -(-counts["q"] // side))
 
     def code(batches):
         for b in batches:
