@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ast
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,7 @@ TYPES = {
     "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "uint8": "smallint", "uint16": "int", "uint32": "bigint", "uint64": "decimal(20,0)", "float32": "float", "float64": "double", "double": "double", "float": "float",
     "bool": "boolean", "boolean": "boolean", "string": "string", "utf8": "string", "binary": "binary", "date": "date", "date32": "date", "timestamp": "timestamp_ntz", "timestamptz": "timestamp", "uuid": "string", "time": "bigint",
 }
-LANGS = ("literal", "lua", "ssisexpr", "sql")
+LANGS = ("literal", "lua", "python", "ssisexpr", "sql")
 
 
 def spark_type(name: str) -> str:
@@ -60,6 +62,8 @@ def compile_expression(spec: Any, schema: T.StructType, scope: Scope, default_la
         col = _literal(source, "boolean" if predicate else to)
     elif lang == "sql":
         col = F.expr(str(source))
+    elif lang == "python":
+        return _python(str(source), schema, "boolean" if predicate else to or "string")
     elif lang == "ssisexpr":
         col, kind = compile_typed(str(source), schema, scope.all)
         if predicate and kind not in ("bool", "null"):
@@ -74,6 +78,50 @@ def compile_expression(spec: Any, schema: T.StructType, scope: Scope, default_la
     return _ranged(col, to) if to else col
 
 
+def _python(source: str, schema: T.StructType, to: str) -> Column:
+    """A Python expression over whole columns: row.name is a pandas Series of an Arrow batch, np and pd are at hand, the value is a Series or a scalar.
+
+    Only the columns that the source names as row.name or row["name"] travel to Python. Integers with nulls arrive as floats with NaN,
+    which a result turns back into null. Values that don't fit the type raise."""
+    try:
+        tree = ast.parse(source.strip(), mode="eval")
+    except SyntaxError as e:
+        raise ExpressionError(f"python: {e.msg}") from e
+    of_row = lambda n: isinstance(n, ast.Name) and n.id == "row"
+    named = {n.attr for n in ast.walk(tree) if isinstance(n, ast.Attribute) and of_row(n.value)}
+    named |= {n.slice.value for n in ast.walk(tree) if isinstance(n, ast.Subscript) and of_row(n.value) and isinstance(n.slice, ast.Constant)}
+    unknown = sorted(str(n) for n in named if n not in schema.names)
+    if unknown:
+        raise ExpressionError(f"unknown column {', '.join(unknown)}")
+    if sum(map(of_row, ast.walk(tree))) > sum(isinstance(n, (ast.Attribute, ast.Subscript)) and of_row(n.value) and (isinstance(n, ast.Attribute) or isinstance(n.slice, ast.Constant)) for n in ast.walk(tree)):
+        raise ExpressionError("python: row is used by column only, as row.name")
+    names = sorted(named) or schema.names[:1]
+    if not names:
+        raise ExpressionError("python: there is no column")
+
+    def run(*columns: pd.Series) -> pd.Series:
+        import numpy as np
+
+        row = pd.DataFrame(dict(zip(names, columns, strict=True)))
+        out = eval(compile(source.strip(), "<expression>", "eval"), {"np": np, "pd": pd}, {"row": _Row(row)})
+        return out if isinstance(out, pd.Series) else pd.Series(out, index=row.index)
+
+    return F.pandas_udf(run, to)(*(F.col(f"`{n}`") for n in names))
+
+
+class _Row:
+    """Columns of a batch by attribute or item; no column hides behind a method of a frame."""
+
+    def __init__(self, frame: pd.DataFrame):
+        self.__dict__["_frame"] = frame
+
+    def __getattr__(self, name: str) -> pd.Series:
+        return self._frame[name]
+
+    def __getitem__(self, name: str) -> pd.Series:
+        return self._frame[name]
+
+
 def _literal(value: Any, to: str | None) -> Column:
     if to == "boolean":
         text = str(value).lower()

@@ -3,12 +3,17 @@
 A source text is read by a precedence climber into a tree whose nodes carry a Column and a kind; operators and functions choose their
 Column by kind. Integers are 64-bit, floats double, decimals keep their scale; null propagates (three-valued logic). Impossible
 combinations of kinds are compile errors; bad values raise at run time, inside the Column.
+
+Two parameters change what numbers mean: $Package::LocaleID names the locale of texts that are cast to integers and floats (group marks
+between whole groups of three or none; decimals are always in plain form), and $Package::IntegerOverflow set to wrap makes + - * of
+integers wrap at 64 bits instead of raising.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,6 +54,13 @@ _PARTS = {
     "day": "day", "dd": "day", "d": "day", "week": "week", "wk": "week", "ww": "week", "weekday": "weekday", "dw": "weekday", "hour": "hour", "hh": "hour", "minute": "minute", "mi": "minute", "n": "minute",
     "second": "second", "ss": "second", "s": "second", "millisecond": "millisecond", "ms": "millisecond",
 }
+#: Parameters: the locale of numbers in texts that are cast to integers and floats, and error (default) or wrap for integer arithmetic.
+LOCALE, OVERFLOW = "$Package::LocaleID", "$Package::IntegerOverflow"
+#: Group and decimal marks by language, or by locale where it differs from its language.
+_MARKS = {
+    "C": ("", "."), "POSIX": ("", "."), "en": (",", "."), "ja": (",", "."), "zh": (",", "."), "ko": (",", "."), "de": (".", ","), "nl": (".", ","), "it": (".", ","), "es": (".", ","), "da": (".", ","), "tr": (".", ","), "id": (".", ","), "el": (".", ","),
+    "pt": (".", ","), "fr": ("\u202f", ","), "sv": ("\u202f", ","), "nb": ("\u202f", ","), "fi": ("\u202f", ","), "cs": ("\u202f", ","), "pl": ("\u202f", ","), "ru": ("\u202f", ","), "uk": ("\u202f", ","), "de_CH": ("\u2019", "."), "es_MX": (",", "."),
+}
 _SQL_KIND = {"int": "bigint", "float": "double", "bool": "boolean", "str": "string", "date": "date", "ts": "timestamp_ntz", "time": "bigint", "bytes": "binary", "guid": "string", "null": "void"}
 
 
@@ -71,8 +83,24 @@ def column_term(col: Column, dt: T.DataType) -> Term:
     raise ExpressionError(f"column type {dt.simpleString()} has no expressions")
 
 
+def _marks(name: str) -> tuple[str, str] | None:
+    """The group and decimal mark of a POSIX locale name; None without one."""
+    if not name:
+        return None
+    base = re.sub(r"[.@].*", "", name)
+    marks = _MARKS.get(base, _MARKS.get(base.partition("_")[0])) if re.fullmatch(r"[a-z]{2}_[A-Z]{2}", base) or base in _MARKS else None
+    if marks is None:
+        raise ExpressionError(f"unknown locale {name!r}; a POSIX name like de_DE.UTF-8 is needed")
+    return marks
+
+
 class _Reader:
     def __init__(self, source: str, schema: T.StructType, variables: dict[str, str]):
+        self.marks = _marks(variables.get(LOCALE, variables.get(LOCALE.rpartition("::")[2], "")))
+        overflow = variables.get(OVERFLOW, variables.get(OVERFLOW.rpartition("::")[2], "error"))
+        if overflow not in ("error", "wrap"):
+            raise ExpressionError(f"{OVERFLOW} is error or wrap, not {overflow!r}")
+        self.wraps = overflow == "wrap"
         self.columns = {}
         for f in schema.fields:
             self.columns.setdefault(f.name.lower(), f)
@@ -124,7 +152,7 @@ class _Reader:
         left = self.unary()
         while _BINARY.get(self.peek(), 0) >= least:
             op = self.next()[1]
-            left = _binary(op, left, self.binary(_BINARY[op] + 1))
+            left = _binary(op, left, self.binary(_BINARY[op] + 1), self.wraps)
         return left
 
     def unary(self) -> Term:
@@ -132,6 +160,8 @@ class _Reader:
         if self.at < len(self.tokens) and self.tokens[self.at][0] == "op" and op in "-!~" and op:
             self.next()
             t = self.unary()
+            if op == "-" and t.kind == "int" and self.wraps:
+                return _binary("-", Term(F.lit(0).cast("bigint"), "int"), t, True)
             if op == "-" and t.kind in ("int", "float", "dec"):
                 return Term(-t.col, t.kind, t.scale, risky=True)
             if op == "!" and t.kind in ("bool", "null"):
@@ -143,7 +173,7 @@ class _Reader:
             self.next()
             name, args = self.type_name()
             self.expect(")")
-            return cast(self.unary(), name, args)
+            return cast(self.unary(), name, args, self.marks)
         return self.primary()
 
     def type_name(self) -> tuple[str, list[int]]:
@@ -229,7 +259,16 @@ def _same(a: Term, b: Term, op: str) -> tuple[Term, Term, str, int]:
     raise ExpressionError(f"{op} does not take {a.kind} and {b.kind}")
 
 
-def _binary(op: str, a: Term, b: Term) -> Term:
+def _wrapped(op: str, a: Column, b: Column) -> Column:
+    """64-bit arithmetic that wraps; a product of two of them has at most 38 digits."""
+    x, y = a.cast("decimal(19,0)"), b.cast("decimal(19,0)")
+    size = F.lit(Decimal(2**64)).cast("decimal(20,0)")
+    low = F.pmod({"+": x + y, "-": x - y, "*": x * y}[op].cast("decimal(38,0)"), size)
+    signed = F.when(low >= F.lit(Decimal(2**63)).cast("decimal(20,0)"), low - size).otherwise(low)
+    return F.coalesce({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a, b), signed.cast("bigint"))
+
+
+def _binary(op: str, a: Term, b: Term, wraps: bool = False) -> Term:
     risky = a.risky or b.risky
     if op in ("&&", "||"):
         if not {a.kind, b.kind} <= {"bool", "null"}:
@@ -252,6 +291,8 @@ def _binary(op: str, a: Term, b: Term) -> Term:
         x, y = a.col, b.col
         return Term({"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op], "bool", risky=risky)
     if kind == "int":
+        if op in "+-*" and wraps:
+            return Term(_wrapped(op, a.col, b.col), "int", risky=risky)
         if op in "+-*":
             return Term({"+": a.col + b.col, "-": a.col - b.col, "*": a.col * b.col}[op], "int", risky=True)
         if op == "/":
@@ -295,7 +336,18 @@ def _g(col: Column) -> Column:
     return F.when(F.isnan(col), "nan").when(col == float("inf"), "inf").when(col == float("-inf"), "-inf").when(col == 0, "0").otherwise(usual)
 
 
-def cast(t: Term, name: str, args: list[int]) -> Term:
+def _plain_number(c: Column, marks: tuple[str, str]) -> Column:
+    """A number as a locale writes it, with whole groups of three or none, in plain form; other texts raise."""
+    group, point = re.escape(marks[0]), re.escape(marks[1])
+    if marks[0] == "\u202f":
+        group = "[\u202f\u00a0]"  # either space is in use
+    whole = rf"([0-9]{{1,3}}({group}[0-9]{{3}})+|[0-9]+)" if group else "[0-9]+"
+    form = rf"^[ \t\n\x0B\f\r]*([+-]?({whole}({point}[0-9]*)?|{point}[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
+    bare = F.regexp_replace(c, group, "") if group else c
+    return _fail_if(~F.rlike(c, F.lit(form)), "not a number of the locale", F.translate(F.trim(bare), marks[1], "."))
+
+
+def cast(t: Term, name: str, args: list[int], marks: tuple[str, str] | None = None) -> Term:
     if name not in _TYPES:
         raise ExpressionError(f"unknown type {name}")
     to, bounds = _TYPES[name]
@@ -303,6 +355,8 @@ def cast(t: Term, name: str, args: list[int]) -> Term:
     bad = ExpressionError(f"cannot cast {k} to {name}")
     if k == "null":
         return Term(F.lit(None).cast(_SQL_KIND.get(to, "decimal(38,0)")), to)
+    if k == "str" and marks and to in ("int", "float"):
+        c = _plain_number(c, marks)
     if to == "int":
         if k == "str":
             v = _fail_if(~F.rlike(c, F.lit(r"^[ \t\n\x0B\f\r]*[+-]?[0-9]+$")), "not an integer", F.trim(c)).cast("bigint")

@@ -71,3 +71,46 @@ def test_script(batch, expr, kind, want):
 def test_script_rejected(batch, expr):
     with pytest.raises(ExpressionError):
         compile_expression(expr, batch.schema, Scope())
+
+
+@pytest.mark.parametrize(("expr", "want"), [
+    ('(DT_R8)"1.234,56"', 1234.56), ('(DT_R8)" -1234,5"', -1234.5), ('(DT_I4)"1.234.567"', 1234567), ('(DT_R8)",5"', 0.5), ('(DT_R8)"1,5e2"', 150.0), ('(DT_NUMERIC,10,2)"1.23"', D("1.23")), ("(DT_R8)NULL(DT_WSTR)", None), ("1.5 + 1", 2.5),
+])
+def test_locale_of_numbers(batch, expr, want):
+    col, _ = compile_typed(expr, batch.schema, {"$Package::LocaleID": "de_DE.UTF-8"})
+    assert batch.limit(1).select(col.alias("x")).first()[0] == want
+
+
+def test_locale_rejects(batch):
+    for bad in ("1.23", "1.2345,0", "1,5,0", "1.234x", ""):
+        col, _ = compile_typed(f'(DT_R8)"{bad}"', batch.schema, {"$Package::LocaleID": "de_DE"})
+        with pytest.raises(PySparkException):
+            batch.select(col).collect()
+    for unknown in ("1031", "xx_XX", "German"):
+        with pytest.raises(ExpressionError, match="locale"):
+            compile_typed("1", batch.schema, {"$Package::LocaleID": unknown})
+    for name, text in (("fr_FR.UTF-8", "1\u202f234,5"), ("fr_FR.UTF-8", "1\u00a0234,5"), ("en_US", "1,234.5"), ("de_CH", "1\u2019234.5"), ("C", "1234.5")):
+        col, _ = compile_typed(f'(DT_R8)"{text}"', batch.schema, {"$Package::LocaleID": name})
+        assert batch.limit(1).select(col).first()[0] == 1234.5
+
+
+def test_integers_wrap_when_asked(batch):
+    top = 2**63 - 1
+    cases = [(f"{top} + 1", -(2**63)), (f"0 - {top} - 2", top), (f"{top} * {top}", 1), (f"-(0 - {top} - 1)", -(2**63)), ("7 * 6", 42), ("nul + 1", None), (f"({top} + 1) * ({top} + 1)", 0), (f"({top} + 1) * -1", -(2**63))]
+    cols = [compile_typed(e, batch.schema, {"$Package::IntegerOverflow": "wrap"})[0].alias(f"x{i}") for i, (e, _) in enumerate(cases)]
+    assert list(batch.limit(1).select(*cols).first()) == [w for _, w in cases]
+    with pytest.raises(PySparkException):
+        batch.select(compile_typed(f"{top} + id", batch.schema)[0]).collect()
+    with pytest.raises(ExpressionError):
+        compile_typed("1", batch.schema, {"$Package::IntegerOverflow": "saturate"})
+
+
+def test_python_expressions(batch):
+    make = lambda e, to=None, predicate=False: compile_expression({"lang": "python", "expr": e}, batch.schema, Scope(), to=to, predicate=predicate)
+    got = batch.select(make("row.id * 2 + 1", "bigint").alias("a"), make("row.name.str.upper()").alias("b"), make("7", "bigint").alias("c"), make("row['nul'].fillna(4)", "bigint").alias("d"), make("np.where(row.id > 0, 'x', None)").alias("e")).orderBy("a").collect()
+    assert [tuple(r) for r in got] == [(1, "ROW_0", 7, 4, None), (3, "ROW_1", 7, 4, "x"), (5, "ROW_2", 7, 4, "x")]
+    assert [r.id for r in batch.where(make("row.id % 2 == 0", predicate=True)).orderBy("id").collect()] == [0, 2]
+    assert batch.limit(0).select(make("row.id", "bigint").alias("a")).collect() == []
+    for bad in ("row.", "row.nope", "row", "len(row)", "x = 1"):
+        with pytest.raises(ExpressionError):
+            make(bad)
