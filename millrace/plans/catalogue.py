@@ -91,9 +91,12 @@ flow("pivot", """SELECT l_orderkey, arg_max(l_partkey, l_linenumber::BIGINT * 10
     read(d, "lineitem"), {"id": "out", "type": "pivot", "from": "lineitem", "id_cols": ["l_orderkey"], "name_col": "l_returnflag", "value_col": "l_partkey", "pivot_keys": ["A", "N", "R"], "order_by": ["l_linenumber", "l_partkey"]}])
 
 # ---- joins and lookups
+for _kind, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
+    flow(f"join_{_kind}", f"SELECT * FROM (SELECT c_custkey, c_name FROM customer) {_sql} (SELECT o_orderkey, o_custkey FROM orders) ON c_custkey = o_custkey", lambda d, k=_kind: [
+        read(d, "customer", columns=["c_custkey", "c_name"]), read(d, "orders", columns=["o_orderkey", "o_custkey"]), {"id": "out", "type": "join", "from": ["customer", "orders"], "on": {"c_custkey": "o_custkey"}, "kind": k}])
 # over all rows, with misses on both sides: doubled customer keys run past the last customer, and odd customers of orders have no partner
 for _kind, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
-    flow(f"join_{_kind}", f"SELECT * FROM (SELECT c_custkey, c_name, c_custkey * 2 AS twice FROM customer) {_sql} (SELECT o_orderkey, o_custkey FROM orders) ON twice = o_custkey", lambda d, k=_kind: [
+    flow(f"join_{_kind}_whole", f"SELECT * FROM (SELECT c_custkey, c_name, c_custkey * 2 AS twice FROM customer) {_sql} (SELECT o_orderkey, o_custkey FROM orders) ON twice = o_custkey", lambda d, k=_kind: [
         read(d, "customer", columns=["c_custkey", "c_name"]), read(d, "orders", columns=["o_orderkey", "o_custkey"]), {"id": "c", "type": "map", "from": "customer", "add": {"twice": typed("[c_custkey] * 2", "l")}},
         {"id": "out", "type": "join", "from": ["c", "orders"], "on": {"twice": "o_custkey"}, "kind": k}])
 flow("join_multi_key", "SELECT l_orderkey, l_linenumber, s_name, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey", lambda d: [
