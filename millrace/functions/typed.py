@@ -260,12 +260,11 @@ def _same(a: Term, b: Term, op: str) -> tuple[Term, Term, str, int]:
 
 
 def _wrapped(op: str, a: Column, b: Column) -> Column:
-    """64-bit arithmetic that wraps; a product of two of them has at most 38 digits."""
+    """64-bit arithmetic that wraps. A product of two of them has at most 38 digits; each side occurs once, so that nested ones stay small."""
     x, y = a.cast("decimal(19,0)"), b.cast("decimal(19,0)")
-    size = F.lit(Decimal(2**64)).cast("decimal(20,0)")
-    low = F.pmod({"+": x + y, "-": x - y, "*": x * y}[op].cast("decimal(38,0)"), size)
-    signed = F.when(low >= F.lit(Decimal(2**63)).cast("decimal(20,0)"), low - size).otherwise(low)
-    return F.coalesce({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a, b), signed.cast("bigint"))
+    half, size = (F.lit(Decimal(n)).cast("decimal(20,0)") for n in (2**63, 2**64))
+    exact = {"+": x + y, "-": x - y, "*": x * y}[op].cast("decimal(38,0)")
+    return (F.pmod(exact + half, size) - half).cast("bigint")
 
 
 def _binary(op: str, a: Term, b: Term, wraps: bool = False) -> Term:
