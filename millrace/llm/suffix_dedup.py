@@ -172,7 +172,9 @@ class Slice:
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
     def part_runs(self, part: np.ndarray) -> list[tuple[int, int]]:
-        at = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0] if len(part) else np.zeros(0, np.int64)
+        if not len(part):  # a slice may have nothing to ask
+            return []
+        at = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0]
         return list(zip(at.tolist(), np.append(at[1:], len(part)).tolist(), strict=True))
 
     def ask(self):

@@ -368,6 +368,20 @@ def test_repeats(spark, docs, none, monkeypatch, local_hot):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_slices_without_anything_to_ask(spark):
+    """Slices of short texts only have no anchors, and in others no anchor is shared."""
+    line = "a line of more than fifty bytes that is in two of the documents"
+    for texts in (["short", "", None], ["short", prose(7, 30), prose(8, 30)], [line + prose(9, 20), line, "short"]):
+        rows = list(enumerate(texts))
+        want = removed_by_force([(i, (t or "").encode()) for i, t in rows])
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == len(rows)
+        assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) in want[r.doc_id] for r in got)
+    alone = suffix_dedup.Slice(pa.table({"id": [1], "text": ["short"]}), 50, 3)
+    nothing = np.zeros(0, np.uint8)
+    assert not list(alone.ask()) and not list(alone.ask_again(alone.states({}))) and not alone.covered(nothing, {}).any()
+
+
 def test_slices_of_the_exchange_by_hand(monkeypatch):
     """Both exchanges in one process, with every path of the second one."""
     passage, line = prose(31, 20), "a common line that very many documents have in them. "
