@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by hash-compared suffix sorting.
+"""Removal of repeated byte strings by suffix sorting.
 
 Every byte goes that is covered by a `width`-byte string which also starts in a document with a smaller key. Sorting all suffixes of
 a corpus would move each byte many times, so suffixes are thinned first, without loss:
@@ -9,9 +9,8 @@ a corpus would move each byte many times, so suffixes are thinned first, without
   after their bytes were compared. An anchor is settled when its whole context is known from a smaller key of another slice (there the
   64 bits of the contexts' hashes and 48 bits of the anchors' decide), or when no other document has it.
 * Second exchange: the contexts of the others, by anchor. Contexts that share no longer string with the anchor are settled; of all
-  others the suffixes, one for each window, are put into buckets by their first sixteen bytes and merge-sorted within buckets; two
-  suffixes are compared by binary search for their common extension on prefix hashes. Neighbours with `width` bytes in common are
-  compared byte by byte, and equal runs yield the smallest key.
+  others the suffixes, one for each window, are sorted in batches of whole anchors, by prefix doubling: ranks of five bytes, then of
+  pairs of ranks, so no hash decides there. Neighbours with `width` bytes in common are equal runs, which yield the smallest key.
 * Anchors with very many contexts send their windows by window hash instead, equal ones of a slice as one, so that no task gets them all.
 
 Documents move through one shuffle by block; each pass finds the same anchors again, and replies come back as arrays in the same order.
@@ -36,6 +35,7 @@ from millrace.llm.common import give_back, mix, parts_for, slices, strings, text
 WIDTH, GRAM = 50, 24
 BLOCK_BYTES, SUB_BYTES, CHUNK = 8 << 20, 4 << 20, 1 << 18
 LOCAL_HOT, HOT = 64, 4096
+BATCH = 1 << 14
 NOTHING, KNOWN, CONTEXT, WINDOWS = 0, 1, 2, 3
 P = np.uint64(0x9E3779B97F4A7C15)
 P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -312,63 +312,54 @@ def _reply(table: pa.Table, data: list[bytes]) -> pa.Table:
     return pa.table({c: table.column(c) for c in ("block", "sub", "part", "phase")} | {"data": pa.array(data, pa.binary())})
 
 
-def suffix_order(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes at `starts` in the order of their first `depth` bytes, and how many bytes each has in common with the one before.
-
-    Buckets by sixteen bytes; within them bottom-up merges, in which each suffix finds its place in the neighbouring run by binary
-    search, and two suffixes are compared at the end of their common extension, found by binary search on prefix hashes."""
-    h = PrefixHash(text)
-    word = lambda at: sum(text[starts + at + i].astype(np.uint64) << np.uint64(8 * (7 - i)) for i in range(8))
-    w1, w2 = word(0), word(8)
-    order = np.lexsort((w2, w1))
-    a1, a2 = w1[order], w2[order]
+def _ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys of so many bits, and where other keys begin in it. Keys are sorted with their places in the low bits where both fit into a word."""
+    low = max(len(key) - 1, 1).bit_length()
+    if bits + low <= 64:
+        both = np.sort(key << np.uint64(low) | np.arange(len(key), dtype=np.uint64))
+        order, k = (both & np.uint64((1 << low) - 1)).astype(np.int64), both >> np.uint64(low)
+    else:
+        order = np.argsort(key, kind="stable")
+        k = key[order]
     new = np.ones(len(order), bool)
-    new[1:] = (a1[1:] != a1[:-1]) | (a2[1:] != a2[:-1])
-    bucket = np.cumsum(new) - 1
-    size = np.bincount(bucket)
-    base = np.nonzero(new)[0]
-
-    def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        lo, hi = np.zeros(len(x), np.int64), np.full(len(x), depth)
-        while (lo < hi).any():
-            mid = (lo + hi + 1) // 2
-            same = h.at(x, mid) == h.at(y, mid)
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        return lo
-
-    def less(x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        k = common(x, y)
-        end = np.minimum(k, depth - 1)
-        return np.where(k >= depth, or_equal, text[x + end] < text[y + end])
-
-    run = 1
-    at = np.nonzero(size[bucket] > 1)[0]
-    while len(at):
-        inner = at - base[bucket[at]]
-        lo = inner // (2 * run) * (2 * run)
-        is_left = inner - lo < run
-        s0 = np.where(is_left, lo + run, lo)  # the neighbouring run
-        s1 = np.minimum(np.where(is_left, lo + 2 * run, lo + run), size[bucket[at]])
-        s0 = np.minimum(s0, s1)
-        x, off = starts[order[at]], base[bucket[at]]
-        low, high = s0.copy(), s1.copy()
-        todo = np.nonzero(low < high)[0]
-        while len(todo):
-            mid = (low[todo] + high[todo]) // 2
-            y = starts[order[off[todo] + mid]]
-            before = less(y, x[todo], ~is_left[todo])  # a neighbour goes before, equal ones if it is the left run
-            low[todo], high[todo] = np.where(before, mid + 1, low[todo]), np.where(before, high[todo], mid)
-            todo = todo[low[todo] < high[todo]]
-        own = inner - np.where(is_left, lo, lo + run)
-        target = off + lo + own + (low - s0)
-        moved = order[at].copy()
-        order[target] = moved
-        run *= 2
-        at = np.nonzero(size[bucket] > run)[0]
-    lcp = np.zeros(len(order), np.int64)
-    if len(order) > 1:
-        near = np.nonzero(~new)[0]
-        lcp[near] = common(starts[order[near]], starts[order[near - 1]])
+    new[1:] = k[1:] != k[:-1]
+    return order, new
+
+
+def suffix_order(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at `starts` in the order of their first `depth` bytes, and how many bytes each has in common with the one before, 0 below 16.
+
+    Prefix doubling: all places of the text are ranked by their first five bytes, then by pairs of ranks, which rank twice as many bytes;
+    the last pair overlaps, so that it ends at `depth`. Ranks are exact, no hashes are compared."""
+    n, size = len(text), 5
+    key = np.zeros(n, np.uint64)
+    for i in range(size):
+        key[: n - i] |= text[i:].astype(np.uint64) << np.uint64(8 * (size - 1 - i))
+    bits, width, ranks = 8 * size, max(n - 1, 1).bit_length(), []
+    while True:
+        order, new = _ranked(key, bits)
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(new) - 1
+        ranks.append((size, rank))
+        if 2 * size > depth:
+            break
+        key = rank << np.uint64(width)
+        key[: n - size] |= rank[size:]
+        bits, size = 2 * width, 2 * size
+    order, new = _ranked(rank[starts] << np.uint64(width) | rank[starts + depth - size], 2 * width)
+    lcp = np.where(new, 0, depth)
+    near = np.nonzero(new)[0][1:]
+    x, y = starts[order[near]], starts[order[near - 1]]
+    same = np.zeros(len(near), np.int64)
+    for size, rank in ranks[::-1]:
+        inside = np.minimum(same, depth - size)
+        same += np.where((inside == same) & (rank[x + inside] == rank[y + inside]), size, 0)
+    going = np.ones(len(near), bool)
+    for _ in range(ranks[0][0] - 1):  # what is left is shorter than the shortest rank
+        inside = np.minimum(same, depth - 1)
+        going &= (same < depth) & (text[x + inside] == text[y + inside])
+        same += going
+    lcp[near] = np.where(same >= 16, same, 0)
     return order, lcp
 
 
@@ -392,7 +383,8 @@ def compare(table: pa.Table, width: int) -> pa.Table:
         for back in (half, 0):
             own = np.nonzero((l_ >= back) & (r_ >= GRAM + half - back))[0]
             many |= _shared(doc, own, h.at(mid[own] - back, GRAM + half))
-        _compared(text, doc, l_, r_, width, np.nonzero(many)[0], out)
+        for among in _batches(np.nonzero(many)[0], h.at(mid[many], GRAM)):
+            _compared(text, doc, l_, r_, width, among, out)
     return _reply(table, [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
@@ -409,26 +401,31 @@ def _shared(doc: np.ndarray, own: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return out
 
 
+def _batches(among: np.ndarray, gram: np.ndarray):
+    """Cuts contexts into batches of about BATCH, so that memory stays bounded. Those of one anchor's bytes stay together: who shares a window shares its anchor."""
+    order = np.argsort(gram, kind="stable")
+    cut = np.nonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]]))[0] if len(among) else among
+    a = 0
+    while a < len(among):
+        k = np.searchsorted(cut, a + BATCH, side="right") - 1
+        b = len(among) if len(among) <= a + BATCH else int(cut[k]) if cut[k] > a else int(cut[k + 1]) if k + 1 < len(cut) else len(among)
+        yield np.sort(among[order[a:b]])
+        a = b
+
+
 def _compared(text: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, width: int, among: np.ndarray, out: np.ndarray) -> None:
     """The suffixes of all windows of the contexts in `among` are sorted; runs with width bytes in common yield the smallest key."""
     full, bit = 2 * width - GRAM, np.arange(width - GRAM + 1)[None]
     ok = (bit >= width - GRAM - left[among][:, None]) & (bit + width <= width - GRAM + right[among][:, None])
     entry, bits = np.nonzero(ok)
-    entry = among[entry]
-    starts = entry * full + bits
-    if not len(starts):
+    if not len(entry):
         return
-    order, lcp = suffix_order(text, starts, width)
-    joined = lcp >= width
-    near = np.nonzero(joined)[0]
-    for a in range(0, len(near), 1 << 16):  # hashes agree: so must the bytes
-        x, y = starts[order[near[a : a + (1 << 16)]]], starts[order[near[a : a + (1 << 16)] - 1]]
-        same = (text[x[:, None] + np.arange(width)[None]] == text[y[:, None] + np.arange(width)[None]]).all(1)
-        joined[near[a : a + (1 << 16)][~same]] = False
-    first = np.nonzero(~joined)[0]
-    low = np.minimum.reduceat(doc[entry[order]], first)[np.cumsum(~joined) - 1]
-    gone = low < doc[entry[order]]
-    np.bitwise_or.at(out, entry[order][gone], np.uint32(1) << bits[order][gone].astype(np.uint32))
+    order, lcp = suffix_order(text.reshape(-1, full)[among].ravel(), entry * full + bits, width)
+    first = np.nonzero(lcp < width)[0]
+    entry, bits = among[entry[order]], bits[order]
+    low = np.repeat(np.minimum.reduceat(doc[entry], first), np.diff(first, append=len(order)))
+    gone = low < doc[entry]
+    np.bitwise_or.at(out, entry[gone], np.uint32(1) << bits[gone].astype(np.uint32))
 
 
 def _subs(table: pa.Table):

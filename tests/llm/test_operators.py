@@ -418,6 +418,21 @@ def test_slices_of_the_exchange_by_hand(monkeypatch):
                 assert {(x[1], x[3]) for x in want[int(i)]} == {(int(g.sum()), hashlib.sha256(t[~g].tobytes()).hexdigest())}
 
 
+def test_suffixes_are_sorted_in_batches_of_whole_anchors(monkeypatch):
+    r = np.random.default_rng(5)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 40)
+    among, gram = np.arange(1000, 1300), r.integers(0, 20, 300).astype(np.uint64)
+    got = list(suffix_dedup._batches(among, gram))
+    assert len(got) > 5 and sorted(np.concatenate(got).tolist()) == among.tolist()
+    assert sum(len(set(gram[b - 1000].tolist())) for b in got) == 20
+    key = r.integers(0, 50, 200).astype(np.uint64)
+    for bits in (6, 60):  # with the places in the same word, and beside it
+        order, new = suffix_dedup._ranked(key, bits)
+        assert order.tolist() == np.argsort(key, kind="stable").tolist() and new.sum() == len(set(key.tolist()))
+    monkeypatch.setattr(suffix_dedup, "BATCH", 1)
+    test_slices_of_the_exchange_by_hand(monkeypatch)
+
+
 def test_suffix_order_is_bytewise():
     r = random.Random(8)
     text = np.frombuffer("".join(r.choice("ab") for _ in range(1200)).encode() * 2 + b"x" * 60, np.uint8)
