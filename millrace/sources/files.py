@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import csv
+import functools
 import io
 import json
 import os
 import re
 import tempfile
 import zipfile
-from itertools import chain
+from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -163,87 +165,149 @@ def _xml_cell(node, path: str) -> str | None:
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
 
 
-def sheet_rows(data: bytes, sheet: str | None = None) -> list[list[str | None]]:
-    """Cells of a worksheet as text."""
-    z = zipfile.ZipFile(io.BytesIO(data))
-    shared = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
+#: Fixed values. The format's own limits: rows of a worksheet and characters of its name.
+SHEET_ROWS, SHEET_NAME = 1048576, 31
+
+#: The defined name of a worksheet in which another goes on. It refers to that one: to its row 1 where the header is repeated, else to a cell.
+_GOES_ON = "millrace_goes_on"
+
+
+def _parts(z: zipfile.ZipFile, sheet: str | None) -> list[tuple[str, bool]]:
+    """The file of a worksheet, then those in which it goes on; whether their first row repeats its first."""
     book = ElementTree.fromstring(z.read("xl/workbook.xml"))
     rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-    for s in book.find("m:sheets", _NS):
-        if sheet in (None, s.get("name")):
-            target = rels[s.get(f"{{{_NS['r']}}}id")].lstrip("/")
-            break
-    else:
+    sheets = [(s.get("name"), rels[s.get(f"{{{_NS['r']}}}id")].lstrip("/")) for s in book.find("m:sheets", _NS)]
+    at = next((i for i, (name, _) in enumerate(sheets) if sheet in (None, name)), None)
+    if at is None:
         raise OperatorError(f"xlsx.read: no sheet {sheet!r}")
-    out = []
-    for row in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{{{_NS['m']}}}row"):
-        cells: dict[int, str | None] = {}
-        for c in row:
-            col = 0
-            for ch in re.match(r"[A-Z]+", c.get("r", "A"))[0]:
-                col = col * 26 + ord(ch) - 64
-            v = c.find("m:v", _NS)
-            kind = c.get("t")
-            text = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")) if kind == "inlineStr" else v.text if v is not None else None
-            cells[col - 1] = shared[int(text)] if kind == "s" and text is not None else {"1": "true", "0": "false"}.get(text, text) if kind == "b" else text
-        out.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-    return out
+    parts = {at: False}
+    for d in book.iterfind("m:definedNames/m:definedName", _NS):
+        if d.get("name") == _GOES_ON and d.get("localSheetId"):
+            first, _, cells = (d.text or "").rpartition("!")
+            if (first[1:-1].replace("''", "'") if first.startswith("'") else first) == sheets[at][0]:
+                parts[int(d.get("localSheetId"))] = ":" in cells
+    return [(t if t.startswith("xl/") else f"xl/{t}", again) for i, again in sorted(parts.items(), key=lambda p: (p[0] != at, p[0])) for t in [sheets[i][1]]]
+
+
+def _elements(f, tag: str):
+    """Elements of a tag, each forgotten once the next is asked for."""
+    above, wanted = [], f"{{{_NS['m']}}}{tag}"
+    for event, e in ElementTree.iterparse(f, ("start", "end")):
+        if event == "start":
+            above.append(e)
+            continue
+        above.pop()
+        if e.tag == wanted:
+            yield e
+            above[-1].clear()
+
+
+@functools.cache
+def _column(letters: str) -> int:
+    return functools.reduce(lambda n, ch: n * 26 + ord(ch) - 64, letters, 0) - 1
+
+
+def sheet_rows(data: bytes, sheet: str | None = None) -> Iterator[list[str | None]]:
+    """Cells of a worksheet and of those in which it goes on, as text."""
+    z, shared = zipfile.ZipFile(io.BytesIO(data)), []
+    value, piece = f"{{{_NS['m']}}}v", f"{{{_NS['m']}}}t"
+    if "xl/sharedStrings.xml" in z.namelist():
+        with z.open("xl/sharedStrings.xml") as f:
+            shared = ["".join(t.text or "" for t in si.iter(piece)) for si in _elements(f, "si")]
+    for part, again in _parts(z, sheet):
+        with z.open(part) as f:
+            for row in islice(_elements(f, "row"), int(again), None):
+                cells: dict[int, str | None] = {}
+                for c in row:
+                    v, kind = c.find(value), c.get("t")
+                    text = "".join(t.text or "" for t in c.iter(piece)) if kind == "inlineStr" else v.text if v is not None else None
+                    cells[_column(re.match(r"[A-Z]+", c.get("r", "A"))[0])] = shared[int(text)] if kind == "s" and text is not None else {"1": "true", "0": "false"}.get(text, text) if kind == "b" else text
+                yield [cells.get(i) for i in range(max(cells, default=-1) + 1)]
 
 
 def read_xlsx(spark: SparkSession, path: str, columns: list[str] | None = None, sheet: str | None = None, header: bool = True) -> DataFrame:
-    """A worksheet, all text. The file itself is bounded (1,048,576 rows); it is parsed in a task."""
+    """A worksheet, all text, with those in which write_xlsx went on. A file is parsed in one task, row by row; Spark reads files of up to 2 GiB."""
     files = spark.read.format("binaryFile").load(path).select("content")
     if columns is None:
         if not header:
             raise OperatorError("xlsx.read: without a header, columns must be declared")
-        columns = [str(c) for c in sheet_rows(files.first()[0], sheet)[0]]
+
+        def first(batches):
+            for batch in batches:
+                for data in batch.column("content"):
+                    yield pa.RecordBatch.from_arrays([pa.array([[str(c) for c in row] for row in islice(sheet_rows(data.as_py(), sheet), 1)], pa.list_(pa.string()))], ["names"])
+
+        top = files.mapInArrow(first, "names array<string>").first()
+        if top is None:
+            raise OperatorError("xlsx.read: no header row")
+        columns = top["names"]
     names = [c["name"] if isinstance(c, dict) else c for c in columns]
 
     def parse(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for data in pdf["content"]:
-                rows = sheet_rows(data, sheet)
-                at = [rows[0].index(n) if n in rows[0] else None for n in names] if header and rows else list(range(len(names)))
-                body = rows[1:] if header else rows
-                yield pd.DataFrame([[r[i] if i is not None and i < len(r) else None for i in at] for r in body], columns=names, dtype=object)
+        for batch in batches:
+            for data in batch.column("content"):
+                rows = sheet_rows(data.as_py(), sheet)
+                top = next(rows, []) if header else None
+                at = list(range(len(names))) if top is None else [top.index(n) if n in top else None for n in names]
+                while some := list(islice(rows, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] if i is not None and i < len(r) else None for r in some], pa.string()) for i in at], names)
 
-    return files.mapInPandas(parse, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    return files.mapInArrow(parse, T.StructType([T.StructField(n, T.StringType()) for n in names]))
 
 
 def write_xlsx(df: DataFrame, path: str, sheet: str = "Sheet1", header: bool = True) -> int:
-    """One worksheet, rows streamed from the cluster one partition at a time; the format ends at 1,048,576 rows."""
+    """One workbook, rows streamed from the cluster one partition at a time. A worksheet that is full goes on in "Sheet1 (2)" and so on, which repeat the header."""
     esc = lambda v: str(v).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+    sheet, letters = str(sheet), [_letters(i) for i in range(len(df.columns))]
 
-    def cell(v) -> str:
+    def cell(at: str, v) -> str:
         if v is None:
-            return "<c/>"
+            return f'<c r="{at}"/>'
         if isinstance(v, bool):
-            return f'<c t="b"><v>{int(v)}</v></c>'
+            return f'<c r="{at}" t="b"><v>{int(v)}</v></c>'
         if isinstance(v, (int, float)):
-            return f"<c><v>{v!r}</v></c>"
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{esc(v)}</t></is></c>'
+            return f'<c r="{at}"><v>{v!r}</v></c>'
+        return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{esc(v)}</t></is></c>'
 
-    n = 0
+    def line(k: int, row) -> bytes:
+        return (f'<row r="{k}">' + "".join(cell(f"{c}{k}", v) for c, v in zip(letters, row, strict=True)) + "</row>").encode()
+
+    n, sheets, start, end = 0, [], f'<?xml version="1.0"?><worksheet xmlns="{_NS["m"]}"><sheetData>'.encode(), b"</sheetData></worksheet>"
+    rows = df.toLocalIterator()
+    row = next(rows, None)
     with _delivered(df.sparkSession, path) as local, zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
+        while row is not None or not sheets:
+            sheets.append(_sheet_name(sheet, sheets))
+            with z.open(f"xl/worksheets/sheet{len(sheets)}.xml", "w") as f:
+                size = f.write(start + (line(1, df.columns) if header else b""))
+                first = k = 1 + bool(header)
+                while row is not None and k <= SHEET_ROWS:
+                    made = line(k, row)
+                    if k > first and size + len(made) + len(end) > zipfile.ZIP64_LIMIT:  # a longer file would need a form that spreadsheet programs may not take
+                        break
+                    size += f.write(made)
+                    k += 1
+                    n += 1
+                    row = next(rows, None)
+                f.write(end)
+        ids = range(1, len(sheets) + 1)
+        quoted = "'" + sheet.replace("'", "''") + "'"
+        going = "".join(f'<definedName name="{_GOES_ON}" localSheetId="{i}" hidden="1">{esc(quoted)}!{"$1:$1" if header else "$A$1"}</definedName>' for i in ids[:-1])
+        z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in ids) + "</Types>")
         z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="{_NS["p"]}"><Relationship Id="rId1" Type="{_NS["r"]}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{_NS["m"]}" xmlns:r="{_NS["r"]}"><sheets><sheet name="{esc(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{_NS["p"]}"><Relationship Id="rId1" Type="{_NS["r"]}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        with z.open("xl/worksheets/sheet1.xml", "w") as f:
-            f.write(f'<?xml version="1.0"?><worksheet xmlns="{_NS["m"]}"><sheetData>'.encode())
-            names = [df.columns] if header else []
-            for k, row in enumerate(chain(names, df.toLocalIterator())):
-                if k >= 1048576:
-                    raise OperatorError("xlsx.write: more rows than a worksheet holds")
-                letters = [_letters(i) for i in range(len(row))]
-                f.write((f'<row r="{k + 1}">' + "".join(cell(v).replace("<c", f'<c r="{c}{k + 1}"', 1) for c, v in zip(letters, row, strict=True)) + "</row>").encode())
-                n += 1
-            f.write(b"</sheetData></worksheet>")
-    return n - len(names)
+        z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{_NS["m"]}" xmlns:r="{_NS["r"]}"><sheets>' + "".join(f'<sheet name="{esc(s)}" sheetId="{i}" r:id="rId{i}"/>' for i, s in zip(ids, sheets, strict=True)) + "</sheets>" + (f"<definedNames>{going}</definedNames>" if going else "") + "</workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{_NS["p"]}">' + "".join(f'<Relationship Id="rId{i}" Type="{_NS["r"]}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in ids) + "</Relationships>")
+    return n
+
+
+def _sheet_name(sheet: str, taken: list[str]) -> str:
+    """The name, or with a number the next one that is not taken."""
+    if not taken:
+        return sheet
+    k = len(taken) + 1
+    while (name := f"{sheet[: SHEET_NAME - len(f' ({k})')]} ({k})") in taken:
+        k += 1
+    return name
 
 
 def _letters(i: int) -> str:

@@ -4,6 +4,8 @@ import http.server
 import json
 import threading
 import time
+import zipfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +70,44 @@ def test_xlsx_and_parquet_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 5
 
 
+@pytest.mark.parametrize("header", [True, False])
+@pytest.mark.parametrize("rows", [0, 4, 5, 6, 11])
+def test_xlsx_goes_on_in_further_worksheets(spark, tmp_path, monkeypatch, rows, header):
+    assert files.SHEET_ROWS == 1048576
+    monkeypatch.setattr(files, "SHEET_ROWS", 5)
+    path, name = str(tmp_path / "g.xlsx"), "it's <a> sheet of 31 letter (2)"
+    assert files.write_xlsx(spark.range(rows).selectExpr("id", "if(id % 2 = 0, 'id', null) AS s").coalesce(1), path, name, header) == rows
+    want = [(str(i), "id" if i % 2 == 0 else None) for i in range(rows)]
+    for sheet in (None, name):
+        assert [tuple(r) for r in files.read_xlsx(spark, path, None if header else ["id", "s"], sheet, header).collect()] == want
+    with zipfile.ZipFile(path) as z:
+        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml"))[0]]
+        lines = [z.read(f"xl/worksheets/sheet{i + 1}.xml").count(b"<row ") for i in range(len(names))]
+    assert len(set(names)) == len(names) and max(map(len, names)) <= 31 and max(lines) <= 5 and sum(lines) == rows + header * len(names)
+    if len(names) > 1:
+        assert [r["id"] for r in files.read_xlsx(spark, path, ["id", "s"], names[1], header).collect()] == [str(i) for i in range(5 - header, min(rows, 10 - 2 * header))]
+
+
+def test_xlsx_goes_on_before_a_file_of_the_archive_is_too_long(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 2000)
+    assert files.write_xlsx(spark.range(50), str(tmp_path / "z.xlsx")) == 50
+    assert sorted(int(r["id"]) for r in files.read_xlsx(spark, str(tmp_path / "z.xlsx")).collect()) == list(range(50))
+
+
+def test_xlsx_other_sheets_stay_apart(spark, tmp_path):
+    sheet = '<worksheet xmlns="{m}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="2"><c r="A2" t="s"><v>{v}</v></c></row></sheetData></worksheet>'
+    ns = files._NS
+    with zipfile.ZipFile(tmp_path / "o.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{ns["m"]}"><si><t>id</t></si><si><t>a</t></si><si><r><t>b</t></r><r><t>c</t></r></si></sst>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns["m"]}" xmlns:r="{ns["r"]}"><sheets><sheet name="S" sheetId="1" r:id="x"/><sheet name="S (2)" sheetId="2" r:id="y"/></sheets><definedNames><definedName name="other" localSheetId="1">S!$1:$1</definedName></definedNames></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{ns["p"]}"><Relationship Id="x" Target="worksheets/1.xml"/><Relationship Id="y" Target="/xl/worksheets/2.xml"/></Relationships>')
+        for i in (1, 2):
+            z.writestr(f"xl/worksheets/{i}.xml", sheet.format(m=ns["m"], v=i))
+    assert [[r["id"] for r in files.read_xlsx(spark, str(tmp_path / "o.xlsx"), None, s).collect()] for s in (None, "S", "S (2)")] == [["a"], ["a"], ["bc"]]
+    with pytest.raises(Exception, match="no sheet"):
+        files.read_xlsx(spark, str(tmp_path / "o.xlsx"), None, "T")
+
+
 def test_xml_rows(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<r><row k='1'><n>one</n></row><x><row k='2'/></x></r>")
     got = files.read_xml(spark, str(tmp_path / "a.xml"), "//row", {"k": "@k", "n": "n"}).collect()
